@@ -11,8 +11,10 @@ from .common import table
 from .op2_pii import pii_report
 from .op4_chat import chat_digests
 from .op5_quality import quality_report
+from .op6_automata import passage_dedup
 from .op8_simhash import near_duplicates
 from .op9_packing import pack
+from .op10_suffix import suffix_dedup
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"))
 
 
+def op6_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -41,8 +47,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_chat, op5_quality_rules, op8_simhash, op9_packing)}
+    return {f.__name__: f for f in (op2_pii, op4_chat, op5_quality_rules, op6_automata, op8_simhash, op9_packing, op10_suffix)}
 
 
 OP5_SQL = r"""
