@@ -8,19 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .op1_html import extract_pages
 from .op2_pii import pii_report
+from .op3_license import license_scan
 from .op4_chat import chat_digests
 from .op5_quality import quality_report
 from .op6_automata import passage_dedup
+from .op7_decontam import leaks
 from .op8_simhash import near_duplicates
 from .op9_packing import pack
 from .op10_suffix import suffix_dedup
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(table(spark, sf_dir, "documents"))
 
 
+def op3_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -36,6 +47,10 @@ def op6_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,7 +67,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op4_chat, op5_quality_rules, op6_automata, op8_simhash, op9_packing, op10_suffix)}
+    return {f.__name__: f for f in (op1_html, op2_pii, op3_license, op4_chat, op5_quality_rules, op6_automata, op7_decontam, op8_simhash, op9_packing, op10_suffix)}
 
 
 OP5_SQL = r"""
