@@ -168,8 +168,9 @@ def removed_bytes(text: bytes, stretches: list[tuple[int, int]]) -> bytes:
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, texts: bool = False) -> DataFrame:
     """A row per document: n_bytes, n_removed, n_spans, kept_sha256 (or, with ``texts``, the bytes that stay)."""
-    docs = stage_documents(df, id_col, text_col)
-    spans = repeated_intervals(docs, Shape(length, max(1, length * 8 // 25)), _symbols, _cut, matcher(length), SHARD_BYTES)
+    shape = Shape(length, max(1, length * 8 // 25))
+    docs = stage_documents(df, id_col, text_col, shape, _symbols)
+    spans = repeated_intervals(docs, shape, _cut, matcher(length), SHARD_BYTES)
 
     def remove(text: bytes, stretches: list[tuple[int, int]]) -> tuple:
         kept = removed_bytes(text, stretches)

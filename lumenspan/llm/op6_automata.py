@@ -34,10 +34,16 @@ REMEMBERED = 300_000
 
 
 class WordHashes(dict):
+    def __init__(self) -> None:
+        import xxhash
+
+        super().__init__()
+        self.hash = xxhash.xxh64_intdigest
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") | 1
+        self[word] = h = self.hash(word, 6) | 1
         return h
 
 
@@ -60,7 +66,7 @@ def _cut() -> Callable:
 
 
 def locate(passages: list[bytes], texts: list[bytes]) -> list[tuple[int, int, int]]:
-    """(text, first word, last word + 1) of every occurrence of a passage in a text; both are words joined by one space."""
+    """(text, first word, last word + 1) of the stretches that occurrences of passages cover in each text; both are words joined by one space."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
@@ -74,8 +80,11 @@ def locate(passages: list[bytes], texts: list[bytes]) -> list[tuple[int, int, in
         found = [(end - size + 1, end) for end, size in automaton.iter(said)]
         if found:
             spaces = np.flatnonzero(np.frombuffer(said.encode("latin-1"), np.uint8) == 32)
-            first, last = (np.searchsorted(spaces, [x[k] for x in found]).tolist() for k in (0, 1))
-            out += [(i, a, b) for a, b in zip(first, last)]
+            first, last = (np.searchsorted(spaces, x) for x in np.array(found).T)
+            by = np.argsort(first, kind="stable")
+            first, reach = first[by], np.maximum.accumulate(last[by])
+            cuts = np.flatnonzero(first[1:] > reach[:-1])
+            out += zip([i] * (len(cuts) + 1), first[np.r_[0, cuts + 1]].tolist(), reach[np.r_[cuts, len(reach) - 1]].tolist())
     return out
 
 
@@ -107,8 +116,9 @@ def matcher(length: int) -> Callable[[Shard], tuple[list[tuple], list[tuple]]]:
 
 def passage_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 35, texts: bool = False) -> DataFrame:
     """A row per document: n_words, n_removed, kept_sha256 (or, with ``texts``, the words that stay, joined)."""
-    docs = stage_documents(df, id_col, text_col)
-    spans = repeated_intervals(docs, Shape(length, max(1, length * 12 // 35)), _symbols, _cut, matcher(length), SHARD_BYTES)
+    shape = Shape(length, max(1, length * 12 // 35))
+    docs = stage_documents(df, id_col, text_col, shape, _symbols)
+    spans = repeated_intervals(docs, shape, _cut, matcher(length), SHARD_BYTES)
 
     def remove(text: bytes, stretches: list[tuple[int, int]]) -> tuple:
         words, at, kept = text.split(), 0, []

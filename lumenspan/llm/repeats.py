@@ -43,6 +43,8 @@ _CHUNK = 1 << 21
 _MASK = (1 << 24) - 1
 #: Classes of one anchor hash beyond which its group is dealt over several shards.
 SPLIT_AT = 4096
+#: Repeated hashes that are sent to every task (8 bytes each); beyond, they are joined.
+SENT_HASHES = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,15 +95,17 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def select_anchors(grams: np.ndarray, w: int) -> np.ndarray:
-    """Places of the selected k-grams, in order, where every window has ``w`` of them."""
+def select_anchors(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
+    """Places of the k-grams that windows select, in order; a window has ``w`` of them, and counts if its first place is ``valid``."""
     found = []
     for at in range(0, len(grams) - w + 1, _CHUNK):
         part = grams[at : at + _CHUNK + w - 1]
         keyed = (part & ~np.uint64(_MASK)) | (np.uint64(_MASK) - np.arange(len(part), dtype=np.uint64))
         least = sliding_min(keyed, w)
-        least = least[np.r_[True, least[1:] != least[:-1]]]
-        found.append(at + (_MASK - (least & np.uint64(_MASK)).astype(np.int64)))
+        least = least[valid[at : at + len(least)]]
+        if len(least):
+            least = least[np.r_[True, least[1:] != least[:-1]]]
+            found.append(at + (_MASK - (least & np.uint64(_MASK)).astype(np.int64)))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -117,64 +121,102 @@ class Shape:
         return self.length - self.k
 
 
-def document_anchors(symbols: np.ndarray, shape: Shape, powers: Powers) -> tuple[np.ndarray, ...]:
-    """(hash, class hash, place, left, right) of a document's anchors."""
+def corpus_anchors(symbols: np.ndarray, sizes: np.ndarray, shape: Shape, powers: Powers) -> tuple[np.ndarray, ...]:
+    """(document, hash, class hash, place) of the anchors of documents whose symbols stand one after the other."""
     n = len(symbols)
     if n < shape.length:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 4
+    ends = np.cumsum(sizes)
     prefix = Prefix(symbols, powers)
     grams = prefix.windows(shape.k)
-    at = select_anchors(grams, shape.reach + 1)
-    start, end = np.maximum(at - shape.reach, 0), np.minimum(at + shape.length, n)
+    valid = np.repeat(ends, sizes) - np.arange(n) >= shape.length
+    at = select_anchors(grams, shape.reach + 1, valid)
+    doc = np.searchsorted(ends, at, "right")
+    first, last = ends[doc] - sizes[doc], ends[doc]
+    start, end = np.maximum(at - shape.reach, first), np.minimum(at + shape.length, last)
     left, right = at - start, end - at - shape.k
     of = prefix.hash(start, end) ^ _mix((left * (shape.length + 1) + right).astype(np.uint64))
-    return grams[at].view(np.int64), of.view(np.int64), at, left, right
+    return doc, grams[at].view(np.int64), of.view(np.int64), at - first
 
 
 Symbols = Callable[[], Callable[[bytes], np.ndarray]]
 
 
-def stage_documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, z): every row with a number of its own and its text compressed, in the shared folder."""
+def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, symbols: Symbols) -> DataFrame:
+    """(uid, doc_id, z, n, hashes, classes, places): every row with a number of its own, its text compressed and its anchors, in the shared folder."""
+    names = ["uid", "doc_id", "z", "n", "hashes", "classes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        z = zstandard.ZstdCompressor(3)
+        z, of, powers = zstandard.ZstdCompressor(3), symbols(), Powers()
+
+        def made(uids: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+            got = [of(t) for t in texts]
+            sizes = np.array([len(g) for g in got], np.int64)
+            doc, *cols = corpus_anchors(np.concatenate(got), sizes, shape, powers)
+            cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+            cols[2] = cols[2].astype(np.int32)
+            blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in cols]
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(map(z.compress, texts), pa.binary()), pa.array(sizes), *blobs], names)
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([z.compress(t.as_py() or b"") for t in b.column(2)], pa.binary())], ["uid", "doc_id", "z"])
+            rows, size = ([], [], []), 0
+            for uid, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                t = t.as_py() or b""
+                for col, x in zip(rows, (uid, i, t)):
+                    col.append(x)
+                size += len(t)
+                if size >= _CHUNK:
+                    yield made(*rows)
+                    rows, size = ([], [], []), 0
+            if rows[0]:
+                yield made(*rows)
 
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return staged(rows.mapInArrow(run, "uid long, doc_id long, z binary"), "documents")
+    return staged(rows.mapInArrow(run, "uid long, doc_id long, z binary, n long, hashes binary, classes binary, places binary"), "documents")
 
 
-def anchors(docs: DataFrame, shape: Shape, symbols: Symbols) -> DataFrame:
-    """(hash, class, uid, place, left, right) of every anchor."""
+def repeated_hashes(docs: DataFrame) -> DataFrame:
+    """(hash): anchors that occur twice or more in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        z, of, powers = zstandard.ZstdDecompressor(), symbols(), Powers()
         for b in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for uid, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h, c, at, left, right = document_anchors(of(z.decompress(t.as_py())), shape, powers)
-                if len(h):
-                    for col, x in zip(out, (h, c, np.full(len(h), uid), at, left, right)):
-                        col.append(x)
-            if out[0]:
-                cols = [np.concatenate(x) for x in out]
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(x, k, safe=False) if k == pa.int64() else pa.array(x.astype(np.int32)) for x, k in zip(cols, kinds)], ["hash", "class", "uid", "place", "left", "right"])
+            for i in range(0, b.num_rows, 500):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0)[i : i + 500].to_pylist()), np.int64))], ["hash"])
 
-    return docs.select("uid", "z").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
+    return docs.select("hashes").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+
+
+def occurrences_of(docs: DataFrame, repeated: DataFrame, shape: Shape) -> DataFrame:
+    """(hash, class, uid, place, left, right) of every anchor whose hash is in ``repeated``."""
+    few = repeated.count() <= SENT_HASHES
+    known = np.sort(repeated.toArrow().column(0).to_numpy()) if few else None
+    names = ["hash", "class", "uid", "place", "left", "right"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                h, c, at = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((2, np.int64), (3, np.int64), (4, np.int32)))
+                each = np.array([len(x) // 8 for x in part.column(2).to_pylist()])
+                uid, n = np.repeat(part.column(0).to_numpy(), each), np.repeat(part.column(1).to_numpy(), each)
+                if known is not None:
+                    keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                    h, c, at, uid, n = h[keep], c[keep], at[keep], uid[keep], n[keep]
+                at = at.astype(np.int64)
+                left, right = np.minimum(at, shape.reach), np.minimum(n - shape.k - at, shape.reach)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, uid, at, left.astype(np.int32), right.astype(np.int32))], names)
+
+    rows = docs.select("uid", "n", "hashes", "classes", "places").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
+    return rows if few else rows.join(repeated, "hash", "left_semi")
 
 
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
-    """(hash, class, n, uid, place, left, right, classes): classes of anchors that occur twice or more, with one occurrence each."""
-    classes = occurrences.groupBy("hash", "class").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place", "left", "right")).alias("one"))
-    groups = classes.groupBy("hash").agg(F.sum("n").alias("total"), F.count("*").alias("classes")).where("total > 1").drop("total")
-    return classes.join(groups, "hash").select("hash", "class", "n", "one.*", "classes")
+    """(hash, class, n, uid, place, left, right, classes): the classes of anchors, with one occurrence each and the number of classes of the hash."""
+    classes = staged(occurrences.groupBy("hash", "class").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place", "left", "right")).alias("one")), "classes")
+    groups = classes.groupBy("hash").agg(F.count("*").alias("classes")).where(F.col("classes") > SPLIT_AT)
+    return classes.join(groups, "hash", "left").select("hash", "class", "n", "one.*", F.coalesce("classes", F.lit(1)).alias("classes"))
 
 
 def class_texts(classes: DataFrame, docs: DataFrame, shape: Shape, cut: Callable) -> DataFrame:
@@ -330,14 +372,15 @@ def sorted_runs(s: Shard, owner: np.ndarray, start: np.ndarray, key: np.ndarray,
     return out
 
 
-def repeated_intervals(docs: DataFrame, shape: Shape, symbols: Symbols, cut: Callable, match: Callable[[Shard], tuple[list[tuple], list[tuple]]], shard_bytes: int) -> DataFrame:
+def repeated_intervals(docs: DataFrame, shape: Shape, cut: Callable, match: Callable[[Shard], tuple[list[tuple], list[tuple]]], shard_bytes: int) -> DataFrame:
     """(uid, spans): for each document with repeated windows, the stretches that they cover.
 
     ``match`` takes a shard and returns rows (index, start, end) of repeated
     stretches within its texts, and rows for ``split_groups``.
     """
-    occurrences = staged(anchors(docs, shape, symbols), "anchors")
-    classes = staged(repeated_classes(occurrences), "classes")
+    repeated = staged(repeated_hashes(docs), "repeated")
+    occurrences = staged(occurrences_of(docs, repeated, shape), "anchors")
+    classes = repeated_classes(occurrences)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.binary()] * 4 + [pa.int64()]
