@@ -44,74 +44,77 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffixes of ``text`` in order."""
     n = len(text)
     key = eight(text)
-    order = np.argsort(key, kind="stable").astype(np.int64)
+    order = np.argsort(key)
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
 
-    def number(places: np.ndarray, new: np.ndarray, first: np.ndarray) -> None:
+    def number(places: np.ndarray, new: np.ndarray) -> None:
         """Each suffix's rank is the place in ``order`` of its group's first."""
-        rank[order[places]] = np.maximum.accumulate(np.where(new, first, 0))
+        rank[order[places]] = np.maximum.accumulate(np.where(new, places, 0))
 
-    everywhere = np.arange(n)
-    number(everywhere, np.r_[True, key[order[1:]] != key[order[:-1]]] if n else np.zeros(0, bool), everywhere)
+    number(np.arange(n), np.r_[True, key[order[1:]] != key[order[:-1]]] if n else np.zeros(0, bool))
+    same = rank[order[1:]] == rank[order[:-1]]
+    open_ = np.flatnonzero(np.r_[same, False] | np.r_[False, same]) if n else np.zeros(0, np.int64)  # places of groups that are not sorted
     h = 8
-    while n:
-        r = rank[order]
-        same = np.r_[r[1:] == r[:-1], False]
-        open_ = np.flatnonzero(same | np.r_[False, same[:-1]])  # places of groups that are not sorted
-        if not len(open_):
-            break
+    while len(open_):
         suffix = order[open_]
-        group, then = rank[suffix], rank[np.minimum(suffix + h, n)]
-        by = np.lexsort((then, group))
-        order[open_] = suffix[by]
-        group, then = group[by], then[by]
-        number(open_, np.r_[True, (group[1:] != group[:-1]) | (then[1:] != then[:-1])], open_)
+        both = rank[suffix] * (n + 1) + rank[np.minimum(suffix + h, n)] + 1
+        by = np.argsort(both)
+        order[open_], both = suffix[by], both[by]
+        same = both[1:] == both[:-1]
+        number(open_, np.r_[True, ~same])
+        open_ = open_[np.r_[same, False] | np.r_[False, same]]
         h *= 2
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
+def _equal_bytes(x: np.ndarray) -> np.ndarray:
+    """How many leading bytes of 64-bit numbers are zero, for x > 0."""
+    return (64 - np.frexp((x & ~(x >> np.uint64(1))).astype(np.float64))[1]) // 8
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, counts: np.ndarray, depth: int) -> np.ndarray:
     """By place in ``order``: the bytes, ``depth`` at most, that a suffix shares with the one before it.
 
-    Kasai's bound, that the next suffix of a text shares at most one byte less,
-    is carried along all texts in step.
+    ``order`` holds the first ``counts`` suffixes of each of the texts that begin
+    at ``starts``.  Kasai's bound, that the next suffix of a text shares at most
+    one byte less, is carried along all texts in step; it does not hold where the
+    suffix before is the last of its text that ``order`` holds.
     """
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n + 1, -1, np.int64)
     before[order[1:]] = order[:-1]
-    key, padded = eight(text), np.concatenate([text, np.zeros(1, np.uint8)])
+    held = np.zeros(n + 1, bool)
+    held[order] = True
+    key = np.concatenate([eight(text), np.zeros(1, np.uint64)])
     shared, h = np.zeros(n, np.int64), np.zeros(len(starts), np.int64)
-    by_size = np.argsort(-sizes, kind="stable")
-    lanes = len(starts)
-    for step in range(int(sizes.max()) if len(sizes) else 0):
-        while lanes and sizes[by_size[lanes - 1]] <= step:
-            lanes -= 1
-        of = by_size[:lanes]
+    lanes = np.argsort(-counts, kind="stable")
+    many = np.searchsorted(-counts[lanes], -np.arange(int(counts.max(initial=0))), "left").tolist()
+    for step, alive in enumerate(many):
+        of = lanes[:alive]
         i = starts[of] + step
         j = before[i]
-        now = np.where(j < 0, 0, np.maximum(h[of] - 1, 0))
+        now = h[of]
+        now[j < 0] = 0
         go = np.flatnonzero((j >= 0) & (now < depth))
         while len(go):
             a, b = i[go] + now[go], j[go] + now[go]
-            fits = (a < n) & (b < n)
-            go, a, b = go[fits], a[fits], b[fits]
-            whole = (key[a] == key[b]) & (np.maximum(a, b) + 8 <= n)
-            now[go[whole]] += 8
-            rest = go[~whole]
-            for _ in range(8):
-                a, b = i[rest] + now[rest], j[rest] + now[rest]
-                rest = rest[(a < n) & (b < n) & (padded[np.minimum(a, n)] == padded[np.minimum(b, n)])]
-                if not len(rest):
-                    break
-                now[rest] += 1
-            go = go[whole]
+            x = key[np.minimum(a, n)] ^ key[np.minimum(b, n)]
+            equal = np.where(x == 0, 8, _equal_bytes(x))
+            now[go] += np.minimum(equal, n - np.maximum(a, b))
+            go = go[(equal == 8) & (np.maximum(a, b) + 8 < n)]
             go = go[now[go] < depth]
-        h[of] = now = np.minimum(now, depth)
-        shared[i] = now
+        shared[i] = now = np.minimum(now, depth)
+        h[of] = np.where((j >= 0) & held[j + 1], np.maximum(now - 1, 0), 0)
     return shared[order]
 
 
+def _windows(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place in it) of every window."""
+    n = np.maximum(sizes - length + 1, 0)
+    return np.repeat(np.arange(len(sizes)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
 def matcher(length: int) -> Callable[[Shard], tuple[list[tuple], list[tuple]]]:
     powers = Powers()
 
@@ -119,28 +122,35 @@ def matcher(length: int) -> Callable[[Shard], tuple[list[tuple], list[tuple]]]:
         sizes = np.array([len(t) for t in s.texts], np.int64)
         text = np.frombuffer(b"".join(s.texts), np.uint8)
         starts = np.cumsum(sizes) - sizes
+        _, row = np.unique(s.uid, return_inverse=True)
+        width = int(s.start.max(initial=0)) + int(sizes.max(initial=0)) + 1
+        owner, within = _windows(sizes, length)
+        place = row[owner] * width + s.start[owner] + within
+        # a window whose hash is alone cannot recur: the array is built over the stretches of the others
+        key = Prefix(_SYMBOLS[text], powers).windows(length)[starts[owner] + within] if len(owner) else np.zeros(0, np.uint64)
+        more = sorted_runs(s, owner, within, key, length) if (s.salt >= 0).any() else []
+        likely = np.flatnonzero(repeated_starts(key, place, s.n[owner] > 1))
+        if not len(likely):
+            return [], more
+        of, at = np.unique(owner[likely], return_index=True)
+        low, high = within[likely[at]], within[likely[np.r_[at[1:], len(likely)] - 1]]
+        sizes = high - low + length
+        text = np.concatenate([text[a : a + n] for a, n in zip((starts[of] + low).tolist(), sizes.tolist())])
+        starts = np.cumsum(sizes) - sizes
+        owner, within = _windows(sizes, length)
+        at = starts[owner] + within
         order = suffix_array(text)
-        lcp = common_prefixes(text, order, starts, sizes, length)
+        kept = np.zeros(len(text), bool)
+        kept[at] = True
+        order = order[kept[order]]
         group = np.empty(len(text), np.int64)
-        group[order] = np.cumsum(lcp < length)
-        owner = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(np.maximum(sizes - length + 1, 0)) - np.maximum(sizes - length + 1, 0), np.maximum(sizes - length + 1, 0))
-        at = starts[owner] + within
-        _, row = np.unique(s.uid, return_inverse=True)
-        place = row[owner] * (int(s.start.max(initial=0)) + int(sizes.max(initial=0)) + 1) + s.start[owner] + within
-        again = repeated_starts(group[at], place, s.n[owner] > 1)
-        found = []
-        cuts = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        group[order] = np.cumsum(common_prefixes(text, order, starts, sizes - length + 1, length) < length)
+        within += low[owner]
+        again = repeated_starts(group[at], row[of[owner]] * width + s.start[of[owner]] + within, s.n[of[owner]] > 1)
+        cuts, found = np.searchsorted(owner, np.arange(len(of) + 1)), []
         for i in np.unique(owner[again]).tolist():
             mine = slice(cuts[i], cuts[i + 1])
-            found += [(i, a, b) for a, b in runs(within[mine][again[mine]], length)]
-        more = []
-        if (s.salt >= 0).any():
-            # a window that recurs here is settled; of the others one hash each goes to the merge
-            open_ = np.flatnonzero((s.salt[owner] >= 0))
-            symbols = _SYMBOLS[text]
-            key = Prefix(symbols, powers).windows(length)[at[open_]]
-            more = sorted_runs(s, owner[open_], within[open_], key, length)
+            found += [(int(of[i]), a, b) for a, b in runs(within[mine][again[mine]], length)]
         return found, more
 
     return match

@@ -8,12 +8,12 @@ a sequence of symbols (word hashes or bytes); a window is ``length`` of them.
    two equal windows select the same k-gram at the same place in both, and
    windows can only be equal if they hold an anchor with the same hash.  About
    two in (length - k + 2) places are anchors.
-2. The context of an anchor is all that windows which hold it can reach:
-   length - k symbols on either side, less at the ends of a document.  Equal
-   contexts are merged into classes with a count before anything else moves, so
-   thousands of copies cost one row.
-3. Anchors whose hash occurs once in the corpus are dropped: nothing that they
-   could select occurs again.  What is left goes, as one text per class, to the
+2. The context of an anchor is the stretch of the windows that select it.  Each
+   window is in one context only.  Equal contexts are merged into classes with a
+   count before anything else moves, so thousands of copies cost one row.
+3. Anchors whose hash occurs once in the corpus are dropped: no window that
+   selects them occurs again.  Where all contexts of a hash are one class, all
+   of its windows recur.  The rest goes, as one text per class, to the
    operator's own matcher, in shards of bounded size.
 4. The matcher's intervals go back to every occurrence of the class, and per
    document they are united.
@@ -95,18 +95,26 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(after[: n - w + 1], before[w - 1 : n])
 
 
-def select_anchors(grams: np.ndarray, w: int, valid: np.ndarray) -> np.ndarray:
-    """Places of the k-grams that windows select, in order; a window has ``w`` of them, and counts if its first place is ``valid``."""
+def select_anchors(grams: np.ndarray, w: int, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the k-grams that windows select, in order, with the first and last window that selects each.
+
+    A window has ``w`` k-grams, and counts if its first place is ``valid``.
+    """
     found = []
     for at in range(0, len(grams) - w + 1, _CHUNK):
         part = grams[at : at + _CHUNK + w - 1]
         keyed = (part & ~np.uint64(_MASK)) | (np.uint64(_MASK) - np.arange(len(part), dtype=np.uint64))
         least = sliding_min(keyed, w)
-        least = least[valid[at : at + len(least)]]
-        if len(least):
-            least = least[np.r_[True, least[1:] != least[:-1]]]
-            found.append(at + (_MASK - (least & np.uint64(_MASK)).astype(np.int64)))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        window = np.flatnonzero(valid[at : at + len(least)])
+        if len(window):
+            place = at + (_MASK - (least[window] & np.uint64(_MASK)).astype(np.int64))
+            new = np.flatnonzero(place[1:] != place[:-1])
+            found.append((place[np.r_[0, new + 1]], at + window[np.r_[0, new + 1]], at + window[np.r_[new, len(window) - 1]]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    place, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(place[1:] != place[:-1])  # a k-gram may be selected on both sides of a chunk's end
+    return place[np.r_[0, new + 1]], first[np.r_[0, new + 1]], last[np.r_[new, len(place) - 1]]
 
 
 @dataclass(frozen=True)
@@ -122,29 +130,27 @@ class Shape:
 
 
 def corpus_anchors(symbols: np.ndarray, sizes: np.ndarray, shape: Shape, powers: Powers) -> tuple[np.ndarray, ...]:
-    """(document, hash, class hash, place) of the anchors of documents whose symbols stand one after the other."""
+    """(document, hash, class hash, place, left, right) of the anchors of documents whose symbols stand one after the other."""
     n = len(symbols)
     if n < shape.length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 6
     ends = np.cumsum(sizes)
     prefix = Prefix(symbols, powers)
     grams = prefix.windows(shape.k)
     valid = np.repeat(ends, sizes) - np.arange(n) >= shape.length
-    at = select_anchors(grams, shape.reach + 1, valid)
+    at, first, last = select_anchors(grams, shape.reach + 1, valid)
     doc = np.searchsorted(ends, at, "right")
-    first, last = ends[doc] - sizes[doc], ends[doc]
-    start, end = np.maximum(at - shape.reach, first), np.minimum(at + shape.length, last)
-    left, right = at - start, end - at - shape.k
-    of = prefix.hash(start, end) ^ _mix((left * (shape.length + 1) + right).astype(np.uint64))
-    return doc, grams[at].view(np.int64), of.view(np.int64), at - first
+    left, right = at - first, last + shape.reach - at
+    of = prefix.hash(first, last + shape.length) ^ _mix((left * (shape.length + 1) + right).astype(np.uint64))
+    return doc, grams[at].view(np.int64), of.view(np.int64), at - (ends[doc] - sizes[doc]), left, right
 
 
 Symbols = Callable[[], Callable[[bytes], np.ndarray]]
 
 
 def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, symbols: Symbols) -> DataFrame:
-    """(uid, doc_id, z, n, hashes, classes, places): every row with a number of its own, its text compressed and its anchors, in the shared folder."""
-    names = ["uid", "doc_id", "z", "n", "hashes", "classes", "places"]
+    """(uid, doc_id, z, hashes, classes, places): every row with a number of its own, its text compressed and its anchors, in the shared folder."""
+    names = ["uid", "doc_id", "z", "hashes", "classes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -154,11 +160,11 @@ def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, sym
         def made(uids: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
             got = [of(t) for t in texts]
             sizes = np.array([len(g) for g in got], np.int64)
-            doc, *cols = corpus_anchors(np.concatenate(got), sizes, shape, powers)
+            doc, h, c, *where = corpus_anchors(np.concatenate(got), sizes, shape, powers)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
-            cols[2] = cols[2].astype(np.int32)
+            cols = [h, c, np.stack(where, axis=1).astype(np.int32)]
             blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(map(z.compress, texts), pa.binary()), pa.array(sizes), *blobs], names)
+            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(map(z.compress, texts), pa.binary()), *blobs], names)
 
         for b in batches:
             rows, size = ([], [], []), 0
@@ -174,7 +180,7 @@ def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, sym
                 yield made(*rows)
 
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return staged(rows.mapInArrow(run, "uid long, doc_id long, z binary, n long, hashes binary, classes binary, places binary"), "documents")
+    return staged(rows.mapInArrow(run, "uid long, doc_id long, z binary, hashes binary, classes binary, places binary"), "documents")
 
 
 def repeated_hashes(docs: DataFrame) -> DataFrame:
@@ -188,7 +194,7 @@ def repeated_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("hashes").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
 
 
-def occurrences_of(docs: DataFrame, repeated: DataFrame, shape: Shape) -> DataFrame:
+def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """(hash, class, uid, place, left, right) of every anchor whose hash is in ``repeated``."""
     few = repeated.count() <= SENT_HASHES
     known = np.sort(repeated.toArrow().column(0).to_numpy()) if few else None
@@ -198,25 +204,22 @@ def occurrences_of(docs: DataFrame, repeated: DataFrame, shape: Shape) -> DataFr
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                h, c, at = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((2, np.int64), (3, np.int64), (4, np.int32)))
-                each = np.array([len(x) // 8 for x in part.column(2).to_pylist()])
-                uid, n = np.repeat(part.column(0).to_numpy(), each), np.repeat(part.column(1).to_numpy(), each)
+                h, c, at = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
+                uid, at = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in part.column(1).to_pylist()]), at.reshape(-1, 3)
                 if known is not None:
                     keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                    h, c, at, uid, n = h[keep], c[keep], at[keep], uid[keep], n[keep]
-                at = at.astype(np.int64)
-                left, right = np.minimum(at, shape.reach), np.minimum(n - shape.k - at, shape.reach)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, uid, at, left.astype(np.int32), right.astype(np.int32))], names)
+                    h, c, at, uid = h[keep], c[keep], at[keep], uid[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (h, c, uid, at[:, 0].astype(np.int64), at[:, 1], at[:, 2])], names)
 
-    rows = docs.select("uid", "n", "hashes", "classes", "places").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
+    rows = docs.select("uid", "hashes", "classes", "places").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
     return rows if few else rows.join(repeated, "hash", "left_semi")
 
 
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
     """(hash, class, n, uid, place, left, right, classes): the classes of anchors, with one occurrence each and the number of classes of the hash."""
     classes = staged(occurrences.groupBy("hash", "class").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place", "left", "right")).alias("one")), "classes")
-    groups = classes.groupBy("hash").agg(F.count("*").alias("classes")).where(F.col("classes") > SPLIT_AT)
-    return classes.join(groups, "hash", "left").select("hash", "class", "n", "one.*", F.coalesce("classes", F.lit(1)).alias("classes"))
+    groups = classes.groupBy("hash").agg(F.count("*").alias("classes"))
+    return classes.join(groups, "hash").select("hash", "class", "n", "one.*", "classes")
 
 
 def class_texts(classes: DataFrame, docs: DataFrame, shape: Shape, cut: Callable) -> DataFrame:
@@ -379,8 +382,9 @@ def repeated_intervals(docs: DataFrame, shape: Shape, cut: Callable, match: Call
     stretches within its texts, and rows for ``split_groups``.
     """
     repeated = staged(repeated_hashes(docs), "repeated")
-    occurrences = staged(occurrences_of(docs, repeated, shape), "anchors")
+    occurrences = staged(occurrences_of(docs, repeated), "anchors")
     classes = repeated_classes(occurrences)
+    alone = classes.where("classes = 1").select("hash", "class", F.lit(0).cast("long").alias("start"), (F.col("left") + shape.k + F.col("right")).cast("long").alias("end"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.binary()] * 4 + [pa.int64()]
@@ -392,10 +396,11 @@ def repeated_intervals(docs: DataFrame, shape: Shape, cut: Callable, match: Call
             for at in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), kinds)], names)
 
-    texts = class_texts(classes, docs, shape, cut).repartition("hash", "salt").sortWithinPartitions("hash", "salt")
+    texts = class_texts(classes.where("classes > 1"), docs, shape, cut).repartition("hash", "salt").sortWithinPartitions("hash", "salt")
     matched = staged(texts.mapInArrow(run, "hash long, class long, start long, end long, range long, keys binary, classes binary, starts binary, places binary, width long"), "matches")
     found = matched.where("range IS NULL").select("hash", "class", "start", "end")
     found = found.union(split_groups(matched.where("range IS NOT NULL").select("hash", "range", "keys", "classes", "starts", "places", "width")))
+    found = found.union(alone)
     per_class = found.groupBy("hash", "class").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     at = occurrences.join(per_class, ["hash", "class"]).select("uid", (F.col("place") - F.col("left")).alias("at"), F.explode("spans").alias("s"))
     spans = F.struct((F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"))
