@@ -1,16 +1,17 @@
 """Packing by lexical retrieval.
 
-Documents are range-partitioned by a min-hash of their words (then by id, so
-that ties split), which puts lexically near documents side by side and gives
-each task about as many rows.  A task reads its rows in shards of bounded size;
-for each shard it builds a BM25 inverted index, and the unused neighbours that
-the index returns for a seed document fill the seed's window greedily.  The
-document that a full window cuts is the next seed.  So every sequence is full
-but the last of a task, which is cut into sequences of power-of-two lengths:
-there is no padding.
-
-Ids come from a word-level tokenizer that never joins across ASCII white space,
-so the ids of a text are those of its words in order; words are remembered.
+1. Texts become ids.  The tokenizer never joins across ASCII white space, splits
+   a full stop or comma off a letter, and ignores ASCII case, so a text's ids are
+   those of its words in order; each distinct word is encoded once and
+   remembered.  Ids and a min-hash of the words are written to the shared folder.
+2. Documents are range-partitioned by the min-hash (then by id, so that ties
+   split), which puts lexically near documents side by side and gives each task
+   about as many rows.
+3. A task reads its rows in shards of bounded size.  For each shard it builds a
+   BM25 inverted index, and the unused neighbours that the index returns for a
+   seed document fill the seed's window greedily.  The document that a full
+   window cuts is the next seed.  So every sequence is full but the last of a
+   task, which is cut into sequences of power-of-two lengths: no padding.
 
 Edge cases: a NULL or empty text is the end id alone; repeated rows are packed
 each by itself; a NULL id is returned as NULL; a text of any length is cut over
@@ -20,6 +21,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -29,83 +32,123 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, word_array
+from .common import staged
+from .repeats import Powers, Prefix
 
-#: Words that a task remembers the ids of.
-REMEMBERED = 300_000
-#: A shard of the index ends at so many documents or bytes of text.
-SHARD_DOCS, SHARD_BYTES = 4096, 12 << 20
-#: BM25's parameters, and the most telling words of a seed that make its query.
-K1, B, QUERY_WORDS = 1.2, 0.75, 16
+#: Words that a worker remembers the ids of, over all its tasks.
+REMEMBERED = 1_000_000
+#: Bytes of text that are encoded at once; a shard of the index ends at so many documents or ids.
+BLOCK_BYTES, SHARD_DOCS, SHARD_IDS = 2 << 20, 4096, 3 << 20
+#: BM25's parameters, and the most telling ids of a seed that make its query.
+K1, B, QUERY_IDS = 1.2, 0.75, 16
 
+_BYTES = np.random.default_rng(9).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
-class WordIds(dict):
-    """Index of each word; ``ids[starts[i] : starts[i] + sizes[i]]`` are its ids."""
+
+class WordIds:
+    """Ids of words; ``ids[starts[i] : starts[i] + sizes[i]]`` are those of the i-th word seen."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.powers = Powers()
+        self.punctuation = [self._encode(x) for x in (b".", b",")]
         self.forget()
 
+    def _encode(self, word: bytes) -> list[int]:
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+
     def forget(self) -> None:
-        self.clear()
+        self.known: dict[int, int] = {}
         self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
 
-    def __missing__(self, word: bytes) -> int:
-        got = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+    def _index(self, key: int, word: bytes) -> int:
+        got = self._encode(word)
+        self.known[key] = i = len(self.starts)
         self.starts.append(len(self.ids))
         self.sizes.append(len(got))
         self.ids.extend(got)
-        self[word] = i = len(self)
         return i
 
-    def encode(self, text: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The words' indexes and the text's ids, ``end`` last."""
-        words = text.split()
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        ids, starts, sizes = np.frombuffer(self.ids or array("I", [0]), np.uint32), np.frombuffer(self.starts or array("q", [0]), np.int64), np.frombuffer(self.sizes or array("q", [0]), np.int64)
-        size = sizes[at] if len(at) else np.zeros(0, np.int64)
+    def encode(self, texts: list[bytes], end: int) -> tuple[list[np.ndarray], list[int | None]]:
+        """Each text's ids, ``end`` last, and the smallest hash of its words."""
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        text = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
+        space = _SPACE[raw]
+        first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+        last = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+        for w in np.unique(np.searchsorted(first, np.flatnonzero(raw == 60), "right") - 1).tolist():
+            text[first[w] : last[w]] = raw[first[w] : last[w]]  # control strings are known by their case
+        mark = text[last - 1]
+        marked = ((mark == 46) | (mark == 44)) & (last - first > 1) & _LETTER[text[np.maximum(last - 2, 0)]]
+        core = last - marked
+        keys = Prefix(_BYTES[text], self.powers).hash(first, core) + (core - first).astype(np.uint64)
+        distinct, at, word = np.unique(keys, return_index=True, return_inverse=True)
+        known, body = self.known, text.tobytes()
+        index = [known.get(k, -1) for k in distinct.tolist()]
+        for i in np.flatnonzero(np.array(index, np.int64) < 0).tolist():
+            index[i] = self._index(int(distinct[i]), body[first[at[i]] : core[at[i]]])
+        which = np.array(index, np.int64)[word]
+        ids, starts, sizes = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.starts, np.int64), (self.sizes, np.int64))) if self.ids else (np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        size = sizes[which]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        doc = np.searchsorted(ends, first, "right")
+        total = size + marked
+        begin = np.cumsum(total) - total + doc  # each text before has an end id
+        out = np.empty(int(total.sum()) + len(texts), np.uint32)
         before = np.cumsum(size) - size
-        out = np.empty(int(size.sum()) + 1, np.uint32)
-        out[-1] = end
-        if len(out) > 1:
-            out[:-1] = ids[np.repeat(starts[at] - before, size) + np.arange(len(out) - 1)]
+        n = np.arange(int(size.sum()))
+        out[np.repeat(begin - before, size) + n] = ids[np.repeat(starts[which] - before, size) + n]
+        for code, tokens in ((46, self.punctuation[0]), (44, self.punctuation[1])):
+            out[(begin + size)[marked & (mark == code)]] = tokens[0]
+        per_doc = np.bincount(doc, total, len(texts)).astype(np.int64) + 1
+        stops = np.cumsum(per_doc)
+        out[stops - 1] = end
         del ids, starts, sizes
-        return at, out
+        mins = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(mins, doc, keys)
+        return np.split(out, stops[:-1]), mins.view(np.int64).tolist()
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, kept from task to task."""
+    kept = sys.modules.setdefault("_word_ids_of_this_worker", types.ModuleType("_word_ids_of_this_worker")).__dict__
+    if path not in kept:
+        kept[path] = WordIds(path)
+    return kept[path]
 
 
 class Index:
-    """A BM25 inverted index over the documents of a shard."""
+    """A BM25 inverted index over the documents of a shard, by id of the vocabulary."""
 
     def __init__(self, docs: list[np.ndarray]) -> None:
-        n = len(docs)
-        of = np.repeat(np.arange(n), [len(d) for d in docs])
-        words, term = np.unique(np.concatenate(docs) if n else np.zeros(0, np.int64), return_inverse=True)
-        pair, tf = np.unique(term.astype(np.int64) * n + of, return_counts=True)
-        self.n, self.docs = n, (pair % n).astype(np.int32) if n else pair
-        terms = pair // max(n, 1)
-        self.first = np.searchsorted(terms, np.arange(len(words) + 1))
-        df = np.diff(self.first)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        size = np.array([len(d) for d in docs], float)
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1e-9))
-        self.weight = (idf[terms] * tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32) if len(pair) else np.zeros(0, np.float32)
-        # the query of each document: its words by weight that another document shares
-        shared = df[terms] > 1
-        by_doc = np.lexsort((-self.weight, self.docs, ~shared)) if len(pair) else np.zeros(0, np.int64)
-        by_doc = by_doc[: int(shared.sum())]
-        self.query_terms, owner = terms[by_doc], self.docs[by_doc]
-        self.query_first = np.searchsorted(owner, np.arange(n + 1))
+        n = self.n = len(docs)
+        size = np.array([len(d) for d in docs], np.int64)
+        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+        self.terms, self.docs = pair // n, (pair % n).astype(np.uint16 if n <= 1 << 16 else np.int64)
+        self.first = np.searchsorted(self.terms, np.arange(int(self.terms[-1]) + 2))
+        self.df = np.diff(self.first)
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
+        norm = K1 * (1 - B + B * size / size.mean())
+        self.weight = (idf[self.terms] * tf * (K1 + 1) / (tf + norm[self.docs])).astype(np.float32)
+        self.by_doc = np.argsort(self.docs, kind="stable")
+        self.of = np.searchsorted(self.docs[self.by_doc], np.arange(n + 1))
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share telling words with ``doc``, the nearest first."""
-        at = self.query_first[doc]
-        terms = self.query_terms[at : min(at + QUERY_WORDS, self.query_first[doc + 1])]
-        if not len(terms):
+        """Unused documents that share telling ids with ``doc``, the nearest first."""
+        own = self.by_doc[self.of[doc] : self.of[doc + 1]]
+        own = own[self.df[self.terms[own]] > 1]
+        if len(own) > QUERY_IDS:
+            own = own[np.argpartition(-self.weight[own], QUERY_IDS)[:QUERY_IDS]]
+        if not len(own):
             return np.zeros(0, np.int64)
-        spans = [slice(self.first[t], self.first[t + 1]) for t in terms]
+        spans = [slice(self.first[t], self.first[t + 1]) for t in self.terms[own].tolist()]
         score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
         score[used] = 0
         found = np.flatnonzero(score)
@@ -181,6 +224,31 @@ class Packer:
             yield from self.close(1 << (self.fill.bit_length() - 1))
 
 
+def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
+    """(doc_id, near, ids): every row's ids as little-endian bytes, two to an id where the vocabulary allows, and the min-hash of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = word_ids(tokenizer_path)
+        kind = _kind(words.vocabulary)
+        for b in batches:
+            at = 0
+            while at < b.num_rows:
+                texts, size, start = [], 0, at
+                while at < b.num_rows and size < BLOCK_BYTES:
+                    texts.append(b.column(1)[at].as_py() or b"")
+                    size += len(texts[-1])
+                    at += 1
+                ids, near = words.encode(texts, end_id)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(near, pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())], ["doc_id", "near", "ids"])
+
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return staged(rows.mapInArrow(run, "doc_id long, near long, ids binary"), "ids")
+
+
+def _kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -191,39 +259,32 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = WordIds(tokenizer_path)
+        kind = _kind(word_ids(tokenizer_path).vocabulary)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
-        for ids, texts in shards(batches):
-            got = [words.encode(t or b"", end_id) for t in texts]
-            index, out = Index([g[0] for g in got]), []
-            for d in retrieval_order(index, [len(g[1]) for g in got], packer.room, window):
-                out += packer.add(ids[d], got[d][1])
+        for ids, docs in shards(batches, kind):
+            index, out = Index(docs), []
+            for d in retrieval_order(index, [len(x) for x in docs], packer.room, window):
+                out += packer.add(ids[d], docs[d])
             if out:
                 yield rows(out)
-            if len(words) > REMEMBERED:
-                words.forget()
         if out := list(packer.finish()):
             yield rows(out)
 
-    t = F.col("text")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    near = let(word_array(t), lambda w: F.array_min(F.transform(w, lambda x: F.xxhash64(x))))
-    docs = docs.select("doc_id", t.cast("binary").alias("text"), near.alias("near"))
+    docs = encode_documents(df, tokenizer_path, id_col, text_col, end_id)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.repartitionByRange(n, "near", "doc_id").sortWithinPartitions("near", "doc_id")
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    ids, texts, size = [], [], 0
+def shards(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, list[np.ndarray]]]:
+    ids, docs, size = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-            t = t.as_py()
+        for i, d in zip(b.column(0).to_pylist(), b.column(1)):
             ids.append(i)
-            texts.append(t)
-            size += len(t or b"")
-            if len(ids) >= SHARD_DOCS or size >= SHARD_BYTES:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+            docs.append(np.frombuffer(d.as_py(), kind))
+            size += len(docs[-1])
+            if len(ids) >= SHARD_DOCS or size >= SHARD_IDS:
+                yield ids, docs
+                ids, docs, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, docs
