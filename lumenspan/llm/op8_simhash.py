@@ -18,6 +18,12 @@ Edge cases: NULL and empty texts have fingerprint zero, linked like any other;
 a text shorter than a shingle is one shingle; repeated rows share their
 component; a NULL id takes part in no minimum but is returned; an empty table
 gives an empty result; other columns are not read.
+
+``similar_groups`` serves text similarity instead of a number of bits.  Its
+fingerprints are wider and made of word pairs, which stay close where longer
+shingles are torn; the same plan and buckets give, for each member, its nearest
+others as candidates, and these are verified by the exact Jaccard similarity of
+their word shingles.
 """
 
 from __future__ import annotations
@@ -33,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 from .components import connected_components
+from .repeats import Powers, Prefix, _mix
 
 BITS = 64
 #: Members of a bucket that are compared as one block.
@@ -71,39 +78,47 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
+def bit_counts(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and for each pair of bits how many set both."""
+    bits_of = BITS * len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros((BITS, BITS)), 0
+        total, n = np.zeros((bits_of, bits_of)), 0
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
-            bits = ((fp[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
-            total += bits.T @ bits
-            n += len(fp)
+            for at in range(0, b.num_rows, 4096):
+                fp = np.stack([b.column(i).slice(at, 4096).to_numpy() for i in range(len(columns))], axis=1).view(np.uint64)
+                bits = ((fp[:, :, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32).reshape(len(fp), -1)
+                total += bits.T @ bits
+                n += len(fp)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n, *total.astype(np.int64).ravel().tolist()]), pa.array(range(BITS * BITS + 1), pa.int32())], ["c", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array([n, *total.astype(np.int64).ravel().tolist()]), pa.array(range(bits_of**2 + 1), pa.int32())], ["c", "i"])
 
-    got = fps.select("fp").mapInArrow(run, "c long, i int").groupBy("i").agg(F.sum("c").alias("c")).collect()
-    counts = {r["i"]: r["c"] for r in got}
-    return counts.get(0, 0), np.array([counts.get(i + 1, 0) for i in range(BITS * BITS)], float).reshape(BITS, BITS)
+    got = fps.select(*columns).mapInArrow(run, "c long, i int").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    counts = np.zeros(bits_of**2 + 1)
+    counts[got.column("i").to_numpy()] = got.column("c").to_numpy()
+    return int(counts[0]), counts[1:].reshape(bits_of, bits_of)
 
 
 def partition_bits(n: int, both: np.ndarray, m: int) -> list[list[int]]:
     """The bits in ``m`` groups of nearly equal size, the most correlated together."""
+    bits_of = len(both)
     p = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd)
-    left, groups = set(range(BITS)), []
+    left, groups = set(range(bits_of)), []
     for g in range(m):
         size = len(left) // (m - g)
-        seed = max(sorted(left), key=lambda i: sum(corr[i, j] for j in left if j != i))
+        free = sorted(left)
+        seed = free[int(corr[np.ix_(free, free)].sum(axis=1).argmax())]
         group = [seed]
         left.remove(seed)
+        near = corr[seed].copy()
         while len(group) < size:
-            best = max(sorted(left), key=lambda i: sum(corr[i, j] for j in group))
+            free = sorted(left)
+            best = free[int(near[free].argmax())]
             group.append(best)
             left.remove(best)
+            near += corr[best]
         groups.append(sorted(group))
     return groups
 
@@ -137,24 +152,24 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], tau: int) -> tup
     return best.get(tau + 1, (math.inf, []))
 
 
-def plan(fps: DataFrame, tau: int) -> list[tuple[list[int], int]]:
+def plan(fps: DataFrame, tau: int, columns: list[str]) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition in use."""
-    n, both = bit_counts(fps)
+    n, both = bit_counts(fps, columns)
     options = []
-    for m in range(2, min(tau + 1, 8) + 1):
+    for m in range(2, min(tau + 1, 24) + 1):
         groups = partition_bits(n, both, m)
         cost, ts = allocate(n, both, groups, tau)
         options.append((cost, m, [(g, t) for g, t in zip(groups, ts) if t >= 0]))
-    return min(options, key=lambda x: x[:2])[2] if options else [(list(range(BITS)), tau)]
+    return min(options, key=lambda x: x[:2])[2] if options else [(list(range(len(both))), tau)]
 
 
 def _keys(fp: np.ndarray, parts: list[tuple[list[int], int]]) -> np.ndarray:
-    """Signed keys, a row for each fingerprint: the values that it is dealt to."""
+    """Signed keys, a row for each fingerprint (a row of 64-bit words): the values that it is dealt to."""
     out = []
     for i, (bits, t) in enumerate(parts):
         value = np.zeros(len(fp), np.uint64)
         for k, b in enumerate(bits):
-            value |= ((fp >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+            value |= ((fp[:, b // BITS] >> np.uint64(b % BITS)) & np.uint64(1)) << np.uint64(k)
         salt = np.uint64(i) << np.uint64(56) if len(bits) <= 56 else np.uint64(0)
         for r in range(t + 1):
             for flips in combinations(range(len(bits)), r):
@@ -189,14 +204,14 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
 
     ``fps`` has one row for each distinct fingerprint.
     """
-    parts = plan(fps, tau)
+    parts = plan(fps, tau, ["fp"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             every = b.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(every), 4096):
                 fp = every[at : at + 4096]
-                keys = _keys(fp, parts)
+                keys = _keys(fp[:, None], parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp, keys.shape[1]).view(np.int64))], ["k", "fp"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,3 +268,161 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     smallest = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     of = joined.join(smallest, "root").select("fp", "component_id")
     return docs.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+#: 64-bit words of a wide fingerprint, and the bits by which a pair of it may differ in buckets and when it is verified.
+WIDE, WIDE_TAU, WIDE_MOST = 3, 18, 40
+#: Nearest others of a bucket that are verified for each member.
+NEAREST = 4
+
+_BYTES = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _word_keys(texts: list[bytes], powers: Powers) -> list[np.ndarray]:
+    """For each text the hashes of its words, without regard to ASCII case."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    text = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    last = np.flatnonzero(~space & np.r_[space[1:], True]) + 1
+    keys = Prefix(_BYTES[text], powers).hash(first, last)
+    return np.split(keys, np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts])[:-1]))
+
+
+def _shingles(keys: np.ndarray, k: int) -> np.ndarray:
+    """A hash for every ``k`` words in a row; for fewer words one of them all."""
+    k = min(k, len(keys))
+    out = np.zeros(max(len(keys) - k + 1, 0) if k else 0, np.uint64)
+    for i in range(k):
+        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + keys[i : len(keys) - k + 1 + i])
+    return out
+
+
+def wide_fingerprint(keys: np.ndarray) -> np.ndarray:
+    """``WIDE`` words: the SimHash of the pairs of words."""
+    h, out = _shingles(keys, 2), np.zeros(WIDE, np.uint64)
+    for w in range(WIDE if len(h) else 0):
+        ones = np.zeros(BITS, np.int64)
+        x = _mix(h + np.uint64((w + 1) * 0xD1342543DE82EF95 % (1 << 64)))
+        for at in range(0, len(x), 65536):
+            ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    at = 0
+    while at < b.num_rows:
+        texts, size, start = [], 0, at
+        while at < b.num_rows and size < most:
+            texts.append(b.column(column)[at].as_py() or b"")
+            size += len(texts[-1])
+            at += 1
+        yield start, texts
+
+
+def candidate_pairs(nodes: DataFrame, tau: int = WIDE_TAU, most: int = WIDE_MOST) -> DataFrame:
+    """(a, b): for each node of each bucket its nearest others within ``most`` bits."""
+    columns = [f"f{w}" for w in range(WIDE)]
+    parts = plan(nodes, tau, columns)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                cols = [part.column(i).to_numpy() for i in range(WIDE + 1)]
+                keys = _keys(np.stack(cols[1:], axis=1).view(np.uint64), parts)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, keys.shape[1])) for c in cols]], ["k", "node", *columns])
+
+    def nearest(node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i in range(0, len(node), BLOCK):
+            for j in range(i, len(node), BLOCK):
+                x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+                for at in range(i, min(i + BLOCK, len(node)), 256):
+                    rows = slice(at, min(at + 256, i + BLOCK))
+                    d = sum(np.bitwise_count(fp[rows, None, w] ^ fp[None, y, w]).astype(np.int16) for w in range(WIDE))
+                    if i == j:
+                        own = np.arange(d.shape[0])
+                        d[own, own + at - i] = 1000
+                    for _ in range(NEAREST):
+                        best = d.argmin(axis=1)
+                        r = np.arange(len(best))
+                        near = d[r, best] <= most
+                        if not near.any():
+                            break
+                        yield node[rows][near], node[y][best[near]]
+                        d[r, best] = 1000
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            every = np.concatenate(rows)
+            if len(every) > 1:
+                got = list(nearest(every[:, 0], np.ascontiguousarray(every[:, 1:]).view(np.uint64)))
+                if got:
+                    a, b = (np.concatenate(x) for x in zip(*got))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            if not len(k):
+                continue
+            rows = np.stack([batch.column(i).to_numpy() for i in range(1, WIDE + 2)], axis=1)
+            cuts = np.flatnonzero(np.diff(k)) + 1
+            for at, part in zip([0, *cuts.tolist()], np.split(rows, cuts)):
+                if key is not None and k[at] != key:
+                    yield from found(held)
+                    held = []
+                key = k[at]
+                held.append(part.copy())
+        if held:
+            yield from found(held)
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.select("node", *columns).mapInArrow(deal, "k long, node long, " + ", ".join(f"{c} long" for c in columns))
+    return dealt.repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(meet, "a long, b long").distinct()
+
+
+def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(key, group): rows whose sets of word shingles are alike, directly or by steps; ``group`` is the smallest key reached.
+
+    ``key_col`` numbers the rows and is unique.  Equal word sequences are one node.
+    """
+    columns = [f"f{w}" for w in range(WIDE)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            for start, texts in _text_slices(b, 1):
+                keys = _word_keys(texts, powers)
+                whole = np.array([_shingles(k, len(k))[0] if len(k) else 0 for k in keys], np.uint64)
+                fps = np.stack([wide_fingerprint(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(whole.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(WIDE)]], ["key", "whole", *columns])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for b in batches:
+            for start, texts in _text_slices(b, 1):
+                sets = [np.unique(_shingles(k, shingle) >> np.uint64(32)).astype("<u4").tobytes() for k in _word_keys(texts, powers)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["node", "said"])
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3)):
+                p, q = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= similarity * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
+    docs = staged(rows.mapInArrow(read, "key long, whole long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
+    nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in columns]), "distinct-texts")
+    pairs = staged(candidate_pairs(nodes), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, said binary"), "shingles")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("said").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("said").alias("q")), "b")
+    roots = connected_components(both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long"))
+    of = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("group"))
+    return docs.select("key", "whole").join(of, "whole").select("key", "group")

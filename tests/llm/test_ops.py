@@ -316,6 +316,30 @@ def test_near_duplicates(spark, tau):
     assert op8_simhash.near_duplicates(frame(spark, docs).limit(0), tau=tau).count() == 0
 
 
+def test_similar_groups(spark):
+    """Groups against all pairs, on copies with few to many words changed."""
+    rng = random.Random(21)
+    docs = [(i, t) for i, t in enumerate([t for _, t in awkward()])]
+    for k in range(12):
+        words = [f"{w}{rng.randrange(9999)}" for w in prose(rng, 60 + 40 * k).split()]
+        for share in (0.0, 0.01, 0.02, 0.05, 0.2):
+            docs.append((len(docs), " ".join("q" if rng.random() < share else w.upper() if rng.random() < 0.1 else w for w in words)))
+    sets = []
+    for _, t in docs:
+        w = WORDS.findall("".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))})
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    got = {r["key"]: r["group"] for r in op8_simhash.similar_groups(frame(spark, docs), "doc_id").collect()}
+    missed = [i for i in range(len(docs)) if got[i] != group[i]]
+    assert not missed, missed
+    assert op8_simhash.similar_groups(frame(spark, docs).limit(0), "doc_id").count() == 0
+
+
 def test_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op8_simhash, "BLOCK", 2)
     test_near_duplicates(spark, 4)
