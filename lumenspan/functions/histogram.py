@@ -18,7 +18,7 @@ def upper_bound(b: Column) -> Column:
     k = b - 32
     shift = (F.floor(k / 16) + 1).cast("int")
     low = F.call_function("shiftleft", (F.pmod(k, F.lit(16)) + 16).cast("long"), shift)
-    return F.when(b < 32, b).otherwise(low + F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1).cast("long")
+    return F.when(b < 32, b).otherwise(low + (F.call_function("shiftleft", F.lit(1).cast("long"), shift) - 1)).cast("long")
 
 
 def percentiles(spans: DataFrame, keys: list[str], value: Column, points: dict[str, float]) -> DataFrame:
