@@ -103,5 +103,28 @@ FROM b
 """
 
 
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT r, i, md5_number(hex(b[i:i + 399])) AS g FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM d WHERE n >= 400)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+cut AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS s FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM again)),
+span AS (SELECT r, min(i) AS a, max(i) + 400 AS z FROM cut GROUP BY r, s),
+piece AS (SELECT r, coalesce(lag(z) OVER w, 1) AS a, a - 1 AS z FROM span WINDOW w AS (PARTITION BY r ORDER BY a) UNION ALL SELECT r, max(z), any_value(n) FROM span JOIN d USING (r) GROUP BY r),
+kept AS (SELECT r, string_agg(CASE WHEN piece.z >= piece.a THEN hex(b[piece.a:piece.z]) ELSE '' END, '' ORDER BY piece.a) AS k FROM piece JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(z - a) AS gone, count(*) AS c FROM span GROUP BY r)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(CASE WHEN k IS NULL THEN b ELSE unhex(k) END) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op6_automata": OP6_SQL, "op10_suffix": OP10_SQL}
