@@ -22,10 +22,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def spaced(text: Column) -> Column:
+    """``text`` with a space for every ASCII white space; NULL: empty.  Byte searches, which cost far less than ``translate`` or a pattern."""
+    out = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
+
+
 def word_array(text: Column) -> Column:
     """Maximal runs of characters other than ASCII white space; NULL text: none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * len(SPACES[1:]))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -14,29 +14,29 @@ result; other columns pass through untouched, whatever their names.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, let, unused, word_array
+from .common import let, spaced, unused, word_array
 
 SYMBOLS = "#*$%&|<>"
 #: Rows that costs and selectivities are estimated on.
 SAMPLE_ROWS = 512
 
 
-def _length_without(text: Column, chars: str) -> Column:
-    return F.char_length(F.translate(text, chars, ""))
+def _text(text: Column) -> Column:
+    return F.coalesce(text, F.lit(""))
 
 
 def word_chars(text: Column) -> Column:
-    return _length_without(F.coalesce(text, F.lit("")), SPACES).cast("long")
+    return F.char_length(F.replace(spaced(text), F.lit(" "), F.lit(""))).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return (F.char_length(t) - _length_without(t, SYMBOLS)).cast("long")
+    return F.regexp_count(_text(text), F.lit(f"[{SYMBOLS}]")).cast("long")
 
 
 def n_words(text: Column) -> Column:
@@ -45,7 +45,7 @@ def n_words(text: Column) -> Column:
 
 def n_dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(_text(text), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return let(lines, lambda ls: (F.size(ls) - F.size(F.array_distinct(ls))).cast("long"))
 
 
@@ -75,7 +75,7 @@ def n_repeat_words(words: Column) -> Column:
             few = lambda d: covered(F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(d, g[i])))
             return let(dups, lambda d: F.when(F.size(d) == 0, F.lit(0).cast("long")).when(F.size(d) <= 24, few(d)).otherwise(by_sorting(g)))
 
-        return let(F.sort_array(g), of_sorted)
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long")).otherwise(let(F.sort_array(g), of_sorted))
 
     def of_words(w: Column) -> Column:
         g = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]))
@@ -85,36 +85,44 @@ def n_repeat_words(words: Column) -> Column:
 
 
 @dataclass(frozen=True)
-class Rule:
-    """Rejects a text where ``test`` of the text is true."""
+class Measures:
+    """What rules look at.  Each is an expression over the text and its words, put into a rule only where the rule asks for it; known values stand in."""
 
-    name: str
-    test: object
+    text: Column
+    words: Column
+    known: dict[str, Column] = field(default_factory=dict)
 
+    def __getattr__(self, name: str) -> Column:
+        if name in self.known:
+            return self.known[name]
+        t = _text(self.text)
+        return {
+            "n_words": lambda: F.size(self.words).cast("long"), "word_chars": lambda: word_chars(t), "n_symbols": lambda: n_symbols(t), "n_dup_lines": lambda: n_dup_lines(t), "n_repeat_words": lambda: n_repeat_words(self.words),
+            "n_lines": lambda: F.size(F.split(t, "\n")).cast("long"), "n_exclamations": lambda: F.regexp_count(t, F.lit("!")).cast("long"), "n_capitals": lambda: F.regexp_count(t, F.lit("[A-ZÀ-ÖØ-Þ]")).cast("long"),
+        }[name]()
 
-def _share(part: Column, whole: Column, percent: int) -> Column:
-    return part * 100 > whole * percent
 
+@dataclass(frozen=True)
+class Rule:
+    """Rejects a text where ``test`` of its measures is true."""
 
-def _upper(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return F.char_length(t) - F.char_length(F.regexp_replace(t, r"[A-ZÀ-ÖØ-Þ]", ""))
+    name: str
+    test: Callable[[Measures], Column]
 
 
-def _count(text: Column, chars: str) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return F.char_length(t) - _length_without(t, chars)
+def _share(part: Column, whole: Column, percent: int) -> Column:
+    return part * 100 > whole * percent
 
 
 #: The first two are the fixed base; the others are the method's own.
 RULES = [
-    Rule("few_words", lambda t: n_words(t) < 50),
-    Rule("repeated_words", lambda t: let(word_array(t), lambda w: _share(n_repeat_words(w), F.size(w).cast("long"), 50))),
-    Rule("symbols", lambda t: _share(n_symbols(t), word_chars(t), 6)),
-    Rule("exclamation", lambda t: _share(_count(t, "!").cast("long"), word_chars(t), 8)),
-    Rule("capitals", lambda t: _share(_upper(t).cast("long"), word_chars(t), 40)),
-    Rule("repeated_lines", lambda t: let(F.size(F.split(F.coalesce(t, F.lit("")), "\n")).cast("long"), lambda n: (n >= 4) & _share(n_dup_lines(t), n, 50))),
-    Rule("word_length", lambda t: let(n_words(t), lambda n: (word_chars(t) < n * 2) | (word_chars(t) > n * 20))),
+    Rule("few_words", lambda m: m.n_words < 50),
+    Rule("repeated_words", lambda m: _share(m.n_repeat_words, m.n_words, 50)),
+    Rule("symbols", lambda m: _share(m.n_symbols, m.word_chars, 6)),
+    Rule("exclamation", lambda m: _share(m.n_exclamations, m.word_chars, 8)),
+    Rule("capitals", lambda m: _share(m.n_capitals, m.word_chars, 40)),
+    Rule("repeated_lines", lambda m: (m.n_lines >= 4) & _share(m.n_dup_lines, m.n_lines, 50)),
+    Rule("word_length", lambda m: let(m.word_chars, lambda c: (c < m.n_words * 2) | (c > m.n_words * 20))),
 ]
 
 
@@ -123,25 +131,30 @@ def cascade_order(df: DataFrame, text_col: str, rules: list[Rule]) -> list[Rule]
     sample = df.select(F.col(text_col).alias("t")).where(F.rand(7) < 0.25).limit(SAMPLE_ROWS).persist()
     try:
         names = [f"r{i}" for i in range(len(rules))]
-        got = sample.agg(F.count("*").alias("n"), *[F.sum(F.when(r.test(F.col("t")), 1).otherwise(0)).alias(c) for r, c in zip(rules, names)]).first()
+        hits = lambda rule: F.sum(first_rejection(F.col("t"), [rule]).isNotNull().cast("int"))
+        got = sample.agg(F.count("*").alias("n"), *[hits(r).alias(c) for r, c in zip(rules, names)]).first()
         if not got["n"]:
             return list(rules)
         worth = {}
         for rule, c in zip(rules, names):
             began = time.perf_counter()
-            sample.agg(F.sum(F.when(rule.test(F.col("t")), 1).otherwise(0))).first()
+            sample.agg(hits(rule)).first()
             worth[rule.name] = (got[c] + 0.5) / got["n"] / (time.perf_counter() - began)
         return sorted(rules, key=lambda r: -worth[r.name])
     finally:
         sample.unpersist()
 
 
-def first_rejection(text: Column, ordered: list[Rule]) -> Column:
+def first_rejection(text: Column, ordered: list[Rule], **known: Column) -> Column:
     """Name of the first rule that rejects ``text``; NULL if none does.  Later rules are not evaluated."""
-    out = None
-    for rule in ordered:
-        out = (F if out is None else out).when(F.coalesce(rule.test(text), F.lit(False)), rule.name)
-    return out
+
+    def chain(words: Column) -> Column:
+        m, out = Measures(text, words, known), None
+        for rule in ordered:
+            out = (F if out is None else out).when(F.coalesce(rule.test(m), F.lit(False)), rule.name)
+        return out
+
+    return chain(word_array(text)) if {"n_words", "n_repeat_words"} <= known.keys() else let(word_array(text), chain)
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
@@ -162,5 +175,6 @@ def quality_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id", m("n_words").alias("n_words"), word_chars(t).alias("word_chars"), n_symbols(t).alias("n_symbols"), n_dup_lines(t).alias("n_dup_lines"), m("n_repeat_words").alias("n_repeat_words"),
         ((m("n_words") < 50) | _share(m("n_repeat_words"), m("n_words"), 50)).alias("base_failed"), F.col(text).alias(text),
     )
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(first_rejection(F.col(text), ordered).isNull())
+    known = {c: F.col(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(first_rejection(F.col(text), ordered, **known).isNull())
     return out.withColumn("kept", kept).drop(text)
