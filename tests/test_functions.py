@@ -172,3 +172,43 @@ def test_payloads(spark):
     assert ref["bytes"] == 6000 and ref["preview"] == "é" * 256 and small.where("span_id = 's0'").first()["attributes"]["u"] == '"small"'
     assert [r["ref"] for r in span_payloads(df).collect()] == [ref["$payload"]] and {r["span_id"] for r in refs(small).collect()} == {"s0", "s1"}
     assert A.canonical({"b": 1, "a": "é"}) == '{"a":"é","b":1}'
+
+
+def test_times():
+    from lumenspan.functions.times import parse_time
+
+    now = 1_700_000_000_000_000_000
+    assert parse_time("now", now) == now and parse_time(" 2h ", now) == now - 7200 * 10**9 and parse_time(str(now), now) == now
+    assert parse_time("2026-07-27T09:00:00.5+02:00", now) == 1785135600500000000 and parse_time("1970-01-02", now) == 86_400 * 10**9
+    for bad in ("", "soon", "1700000000", "2026-13-01", "2026-07-27T9:00", "１２"):
+        with pytest.raises(ValueError):
+            parse_time(bad, now)
+
+
+def test_messages(spark):
+    from lumenspan.functions.messages import messages
+
+    rows = [
+        {"attributes": {"gen_ai.input.messages": json.dumps([{"role": "user", "parts": [{"type": "text", "content": "hi"}, {"type": "image", "mime_type": "image/png"}]}]), "gen_ai.output.messages": [{"role": "assistant", "parts": [{"type": "tool_call", "name": "f", "arguments": {"a": 1}}]}], "gen_ai.prompt.0.content": "ignored"}},
+        {"attributes": {"gen_ai.prompt.10.content": "second", "gen_ai.prompt.2.content": "first", "gen_ai.prompt.2.role": "user", "gen_ai.completion.0.content": "done"}},
+        {"events": [{"name": "llm.prompt", "time": 1, "attributes": {"role": "user", "content": "e"}}, {"name": "other", "time": 2}]}, {"attributes": {"gen_ai.input.messages": {"$payload": "sha256/ab", "bytes": 1, "preview": ""}}}, {},
+    ]
+    got = [(r["span_id"], r["direction"], r["role"], r["kind"], r["text"]) for r in messages(spans_of(spark, rows)).orderBy("span_id", "position").collect()]
+    assert got == [
+        ("s0", "prompt", "user", "text", "hi"), ("s0", "prompt", "user", "media", "image/png"), ("s0", "completion", "assistant", "tool_call", 'f({"a": 1})'),
+        ("s1", "prompt", "user", "text", "first"), ("s1", "prompt", None, "text", "second"), ("s1", "completion", None, "text", "done"), ("s2", "prompt", "user", "text", "e"), ("s3", "prompt", None, "payload", "sha256/ab"),
+    ]
+
+
+def test_store(spark):
+    from lumenspan.store import TraceStore
+
+    rows = [{"attributes": {"session.id": "a", "gen_ai.request.model": "m", "gen_ai.usage.input_tokens": 3}}, {"status": "error", "attributes": {"session.id": "a"}}, {"$tenant": "x", "attributes": {"session.id": "a"}}]
+    base = spans_of(spark, rows).select(*[f.name for f in __import__("lumenspan.schema", fromlist=["SPAN"]).SPAN.fields]).withColumn("ingest_seq", F.monotonically_increasing_id())
+    store = TraceStore(base)
+    assert store.spans.count() == 3 and store.for_tenant("x").spans.count() == 1 and store.list_sessions().count() == 2
+    assert store.for_tenant("").get_session("a").first()["spans"] == 2 and store.analyze_cost().first()["total_tokens"] == 3
+    outcome, cause, findings = store.for_tenant("").diagnose_session("a", 10**18)
+    assert outcome.first()["error_count"] == 1 and cause.first()["span_id"] == "s1" and findings.count() == 0
+    assert store.top_failures().count() == 1 and store.waterfall("t").count() == 3 and store.describe().count() == 3 and store.promote_failures().count() == 1
+    assert store.get_trace("t").count() == 3 and store.slowest_spans(1).count() == 1 and store.search_spans(SpanFilter(status="error", limit=5)).count() == 1
