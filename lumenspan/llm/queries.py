@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .op1_html import extract_pages
 from .op2_pii import pii_report
-from .op3_license import license_scan
+from .op3_license import CONFIRM, CUES, LEAST, NOTICES, UNKNOWN, grams_of, license_scan, model, words_of
 from .op4_chat import chat_digests
 from .op5_quality import quality_report
 from .op6_automata import passage_dedup
@@ -72,18 +72,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP5_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t,
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 win AS (
-  SELECT doc_id, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+  SELECT r, i, w[i] || ' ' || w[i+1] || ' ' || w[i+2] AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 rep AS (
-  SELECT doc_id, count(DISTINCT p) AS n
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
-        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1)
-  GROUP BY doc_id),
+  SELECT r, count(DISTINCT p) AS n
+  FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p
+        FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1)
+  GROUP BY r),
 m AS (
   SELECT d.doc_id, t, len(w)::BIGINT AS n_words,
          length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
@@ -93,7 +93,7 @@ m AS (
          length(t) - length(replace(t, '!', '')) AS bangs,
          length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) AS uppers,
          len(string_split(t, chr(10))) AS n_lines
-  FROM d LEFT JOIN rep USING (doc_id)),
+  FROM d LEFT JOIN rep USING (r)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 6 * word_chars OR 100 * bangs > 8 * word_chars
@@ -126,5 +126,28 @@ FROM d LEFT JOIN sums USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def op3_sql() -> str:
+    """The scan as SQL, with the trained weights and the notices as constants."""
+    classes, weights, temperature = model()
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    values = lambda rows: "VALUES " + ", ".join("(" + ", ".join(r) + ")" for r in rows)
+    w = values([text(g), str(c), f"{x}::DOUBLE"] for g, xs in weights.items() if g for c, x in enumerate(xs) if x)
+    k = values([str(c), text(name), f"{b}::DOUBLE"] for c, (name, b) in enumerate(zip(classes, weights.get("", [0.0] * len(classes)))))
+    n = values([text(g), text(family), str(i), str(len(gs))] for family, ts in NOTICES.items() for i, t in enumerate(ts) for gs in [grams_of(words_of(t))] for g in sorted(gs))
+    return f"""
+WITH w(g, c, x) AS ({w}), k(c, family, bias) AS ({k}), notice(g, family, i, size) AS ({n}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+line AS (SELECT r, p, said FROM (SELECT r, unnest(ls) AS said, unnest(range(len(ls))) AS p FROM d) WHERE regexp_matches(said, {text(CUES)})),
+word AS (SELECT r, p, list_filter(string_split(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM line),
+gram AS (SELECT DISTINCT r, p, array_to_string(ws[i:i + j], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM word) CROSS JOIN (VALUES (0), (1), (2)) v(j) WHERE i + j <= len(ws)),
+seen AS (SELECT DISTINCT r, p FROM gram JOIN w USING (g)),
+score AS (SELECT r, p, k.c, k.family, (coalesce(sum(x), 0) + any_value(bias)) / {temperature!r} AS s FROM seen CROSS JOIN k LEFT JOIN (SELECT r, p, c, x FROM gram JOIN w USING (g)) USING (r, p, c) GROUP BY r, p, k.c, k.family),
+best AS (SELECT r, p, arg_max(family, (s, -c)) AS family, 1 / sum(exp(s - top)) AS probability FROM (SELECT *, max(s) OVER (PARTITION BY r, p) AS top FROM score) GROUP BY r, p),
+alike AS (SELECT r, p, family, max(share) AS share FROM (SELECT r, p, family, i, count(*) / any_value(size) AS share FROM gram JOIN notice USING (g) GROUP BY ALL) GROUP BY ALL),
+sure AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(DISTINCT family)), ',') AS fs FROM best JOIN alike USING (r, p, family) WHERE family <> {text(UNKNOWN)} AND probability >= {LEAST} AND share >= {CONFIRM} GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_paragraphs, coalesce(fs, '') AS families FROM d LEFT JOIN sure USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op6_automata": OP6_SQL, "op10_suffix": OP10_SQL}
+    return {"op3_license": op3_sql(), "op5_quality_rules": OP5_SQL, "op6_automata": OP6_SQL, "op10_suffix": OP10_SQL}
