@@ -36,9 +36,9 @@ from .common import staged
 from .repeats import Powers, Prefix
 
 #: Words that a worker remembers the ids of, over all its tasks.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 #: Bytes of text that are encoded at once; a shard of the index ends at so many documents or ids.
-BLOCK_BYTES, SHARD_DOCS, SHARD_IDS = 2 << 20, 4096, 3 << 20
+BLOCK_BYTES, SHARD_DOCS, SHARD_IDS = 1 << 20, 4096, 2 << 20
 #: BM25's parameters, and the most telling ids of a seed that make its query.
 K1, B, QUERY_IDS = 1.2, 0.75, 16
 
@@ -272,6 +272,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
 
     docs = encode_documents(df, tokenizer_path, id_col, text_col, end_id)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.withColumn("near", F.xxhash64("near"))  # else long texts, whose minima are small, would meet in the first ranges
     docs = docs.repartitionByRange(n, "near", "doc_id").sortWithinPartitions("near", "doc_id")
     return docs.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
