@@ -60,6 +60,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a list of keys (8 bytes each) that may be sent to every task.
+SENT_KEYS = 2_000_000
+
+
+def sent_if_few(keys: DataFrame, name: str) -> DataFrame:
+    """``keys``, staged and counted, for a broadcast if they are at most ``SENT_KEYS``; else for a join by shuffle."""
+    keys = staged(keys, name)
+    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -37,34 +37,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import sent_if_few, staged
 from .components import connected_components
 from .repeats import Powers, Prefix, _mix
 
 BITS = 64
 #: Members of a bucket that are compared as one block.
 BLOCK = 8192
+#: What the comparison of a pair costs against a row that is dealt to a bucket.
+PAIR_COST = 0.005
 
 
-def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The SimHash of one text, UTF-8."""
+_LANES = np.uint64(0x0101010101010101)
+
+
+def majorities(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` values of ``h`` the bits that are set in over half of them; 0 for an empty run.
+
+    A bit of each byte is added up at a time, in byte lanes that 255 values cannot overflow.
+    """
+    out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    n = counts[full]
+    pieces = -(-n // 255)
+    firsts = np.cumsum(pieces) - pieces
+    cuts = np.repeat(np.cumsum(n) - n - 255 * firsts, pieces) + 255 * np.arange(int(pieces.sum()))
+    for k in range(8) if len(full) else ():
+        lanes = np.add.reduceat((h >> np.uint64(k)) & _LANES, cuts)
+        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), firsts, axis=0)
+        for byte in range(8):
+            out[full] |= (2 * ones[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + k)
+    return out
+
+
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 of every word shingle, ASCII letters lower-cased."""
     import xxhash
 
-    words = (text or b"").lower().split()
+    words = text.lower().split()
     if not words:
-        return 0
+        return []
     joined, size = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(size + 1) - 1
-    k = min(shingle, len(words))
-    lasts = ends[k - 1 :].tolist()
+    lasts = ends[min(shingle, len(words)) - 1 :].tolist()
     firsts = (ends - size)[: len(lasts)].tolist()
     h64 = xxhash.xxh64_intdigest
-    h = np.array([h64(joined[a:b], 42) for a, b in zip(firsts, lasts)], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(h), 65536):
-        part = h[at : at + 65536]
-        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+    return [h64(joined[a:b], 42) for a, b in zip(firsts, lasts)]
+
+
+def fingerprint(text: bytes | None, shingle: int = 4) -> int:
+    """The SimHash of one text, UTF-8."""
+    h = shingle_hashes(text or b"", shingle)
+    return int(majorities(np.array(h, np.uint64), np.array([len(h)]))[0])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -72,8 +95,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
+            for start, texts in _text_slices(b, 1):
+                h = [np.array(shingle_hashes(t, shingle), np.uint64) for t in texts]
+                fp = majorities(np.concatenate(h), np.array([len(x) for x in h]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
@@ -139,7 +164,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], tau: int) -> tup
         row = {-1: 0.0}
         for t in range(0, min(tau, 3) + 1):
             probes = sum(math.comb(len(g), k) for k in range(t + 1))
-            row[t] = n * (probes + (probes > 1)) + 0.02 * n * n * float(poly[: t + 1].sum()) * probes
+            row[t] = n * (probes + (probes > 1)) + PAIR_COST * n * n * float(poly[: t + 1].sum()) * probes
         cost.append(row)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}  # by sum of (t + 1)
     for row in cost:
@@ -271,7 +296,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 #: 64-bit words of a wide fingerprint, and the bits by which a pair of it may differ in buckets and when it is verified.
-WIDE, WIDE_TAU, WIDE_MOST = 3, 18, 40
+WIDE, WIDE_TAU, WIDE_MOST = 3, 13, 40
 #: Nearest others of a bucket that are verified for each member.
 NEAREST = 4
 
@@ -298,16 +323,18 @@ def _shingles(keys: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(keys: np.ndarray) -> np.ndarray:
-    """``WIDE`` words: the SimHash of the pairs of words."""
-    h, out = _shingles(keys, 2), np.zeros(WIDE, np.uint64)
-    for w in range(WIDE if len(h) else 0):
-        ones = np.zeros(BITS, np.int64)
-        x = _mix(h + np.uint64((w + 1) * 0xD1342543DE82EF95 % (1 << 64)))
-        for at in range(0, len(x), 65536):
-            ones += np.unpackbits(x[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[w] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+def wide_fingerprints(keys: list[np.ndarray]) -> np.ndarray:
+    """A row of ``WIDE`` words for each text: the SimHash of its pairs of words."""
+    pairs = [_shingles(k, 2) for k in keys]
+    h, counts = np.concatenate(pairs), np.array([len(p) for p in pairs])
+    salted = (_mix(h + np.uint64((w + 1) * 0xD1342543DE82EF95 % (1 << 64))) for w in range(WIDE))
+    return np.stack([majorities(x, counts) for x in salted], axis=1)
+
+
+def whole_hash(keys: np.ndarray) -> int:
+    """A hash of a sequence of words."""
+    at = np.arange(1, len(keys) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return int(_mix(_mix(keys + at).sum(keepdims=True, dtype=np.uint64))[0])
 
 
 def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -396,8 +423,8 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
         for b in batches:
             for start, texts in _text_slices(b, 1):
                 keys = _word_keys(texts, powers)
-                whole = np.array([_shingles(k, len(k))[0] if len(k) else 0 for k in keys], np.uint64)
-                fps = np.stack([wide_fingerprint(k) for k in keys])
+                whole = np.array([whole_hash(k) for k in keys], np.uint64)
+                fps = wide_fingerprints(keys)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(whole.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(WIDE)]], ["key", "whole", *columns])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +447,7 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
     docs = staged(rows.mapInArrow(read, "key long, whole long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
     nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in columns]), "distinct-texts")
     pairs = staged(candidate_pairs(nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ends = sent_if_few(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
     sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, said binary"), "shingles")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("said").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("said").alias("q")), "b")
     roots = connected_components(both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long"))
