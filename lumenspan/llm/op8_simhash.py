@@ -21,9 +21,9 @@ gives an empty result; other columns are not read.
 
 ``similar_groups`` serves text similarity instead of a number of bits.  Its
 fingerprints are wider and made of word pairs, which stay close where longer
-shingles are torn; the same plan and buckets give, for each member, its nearest
-others as candidates, and these are verified by the exact Jaccard similarity of
-their word shingles.
+shingles are torn; the same plan and buckets link members loosely, and within
+each loose group a search by the exact Jaccard similarity of the word shingles
+tests every pair that is not yet connected.
 """
 
 from __future__ import annotations
@@ -297,8 +297,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: 64-bit words of a wide fingerprint, and the bits by which a pair of it may differ in buckets and when it is verified.
 WIDE, WIDE_TAU, WIDE_MOST = 3, 13, 40
-#: Nearest others of a bucket that are verified for each member.
-NEAREST = 4
+#: Shingles of a loose group that are searched as one block; a larger group is dealt in pairs of blocks, which loses no pair.
+SHINGLES = 1 << 21
 
 _BYTES = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -348,8 +348,69 @@ def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterato
         yield start, texts
 
 
+def wide_forest(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """As ``forest``, for fingerprints of ``WIDE`` words; the edges are places in ``fp``."""
+    left, rest, a, b = np.arange(len(fp)), fp, [], []
+    while len(left) > 1:
+        front, left, rest = [int(left[0])], left[1:], rest[1:]
+        while front and len(left):
+            x = front.pop()
+            near = np.bitwise_count(rest ^ fp[x]).sum(axis=1) <= most
+            if near.any():
+                found = left[near].tolist()
+                left, rest = left[~near], rest[~near]
+                a += [x] * len(found)
+                b += found
+                front += found
+    return a, b
+
+
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+    """Edges of a spanning forest of the graph that links ``sets`` of Jaccard similarity ``similarity`` or more.
+
+    The same search; the sets that a set shares elements with are read from an
+    inverted index, which is made again when half of it has been reached.
+    """
+    size, a, b = np.fromiter(map(len, sets), np.int64, len(sets)), [], []
+    left, front = np.arange(len(sets)), []
+    while len(left):
+        every = np.concatenate([sets[i] for i in left])
+        order = np.argsort(every, kind="stable")
+        owner = np.repeat(np.arange(len(left)), size[left])[order]
+        values, starts = np.unique(every[order], return_index=True)
+        counts = np.diff(np.r_[starts, len(every)])
+        alive, n, at = np.ones(len(left), bool), len(left), 0
+        while n and 2 * n >= len(left):
+            if not front:
+                at += int(alive[at:].argmax())
+                alive[at] = False
+                n -= 1
+                front.append(int(left[at]))
+            x = front.pop()
+            if not len(values):
+                continue
+            run = np.minimum(np.searchsorted(values, sets[x]), len(values) - 1)
+            run = run[values[run] == sets[x]]
+            c = counts[run]
+            met = owner[np.repeat(starts[run] - np.cumsum(c) + c, c) + np.arange(int(c.sum()))]
+            if 8 * len(met) > len(left):
+                both = np.bincount(met, minlength=len(left))
+                who = np.flatnonzero(both)
+                both = both[who]
+            else:
+                who, both = np.unique(met, return_counts=True)
+            found = who[alive[who] & (both >= similarity * (size[x] + size[left[who]] - both))]
+            alive[found] = False
+            n -= len(found)
+            a += [x] * len(found)
+            b += left[found].tolist()
+            front += left[found].tolist()
+        left = left[alive]
+    return a, b
+
+
 def candidate_pairs(nodes: DataFrame, tau: int = WIDE_TAU, most: int = WIDE_MOST) -> DataFrame:
-    """(a, b): for each node of each bucket its nearest others within ``most`` bits."""
+    """(a, b): edges that connect all nodes of a bucket that are linked by steps of ``most`` bits or fewer."""
     columns = [f"f{w}" for w in range(WIDE)]
     parts = plan(nodes, tau, columns)
 
@@ -361,35 +422,14 @@ def candidate_pairs(nodes: DataFrame, tau: int = WIDE_TAU, most: int = WIDE_MOST
                 keys = _keys(np.stack(cols[1:], axis=1).view(np.uint64), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, keys.shape[1])) for c in cols]], ["k", "node", *columns])
 
-    def nearest(node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(0, len(node), BLOCK):
-            for j in range(i, len(node), BLOCK):
-                x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                for at in range(i, min(i + BLOCK, len(node)), 256):
-                    rows = slice(at, min(at + 256, i + BLOCK))
-                    d = sum(np.bitwise_count(fp[rows, None, w] ^ fp[None, y, w]).astype(np.int16) for w in range(WIDE))
-                    if i == j:
-                        own = np.arange(d.shape[0])
-                        d[own, own + at - i] = 1000
-                    for _ in range(NEAREST):
-                        best = d.argmin(axis=1)
-                        r = np.arange(len(best))
-                        near = d[r, best] <= most
-                        if not near.any():
-                            break
-                        yield node[rows][near], node[y][best[near]]
-                        d[r, best] = 1000
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             every = np.concatenate(rows)
             if len(every) > 1:
-                got = list(nearest(every[:, 0], np.ascontiguousarray(every[:, 1:]).view(np.uint64)))
-                if got:
-                    a, b = (np.concatenate(x) for x in zip(*got))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                a, b = wide_forest(np.ascontiguousarray(every[:, 1:]).view(np.uint64), most)
+                yield pa.RecordBatch.from_arrays([pa.array(every[a, 0]), pa.array(every[b, 0])], ["a", "b"])
 
         for batch in batches:
             k = batch.column(0).to_numpy()
@@ -431,25 +471,39 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
         powers = Powers()
         for b in batches:
             for start, texts in _text_slices(b, 1):
-                sets = [np.unique(_shingles(k, shingle) >> np.uint64(32)).astype("<u4").tobytes() for k in _word_keys(texts, powers)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], ["node", "said"])
+                sets = [np.unique(_shingles(k, shingle)) for k in _word_keys(texts, powers)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(map(len, sets), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "n", "said"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                p, q = (np.frombuffer(v.as_py(), "<u4") for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, node, said = None, [], []
+
+        def found() -> pa.RecordBatch:
+            a, b = jaccard_forest(said, similarity)
+            return pa.RecordBatch.from_arrays([pa.array([node[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
+
+        for batch in batches:
+            for *k, i, s in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+                if k != key and node:
+                    yield found()
+                    node, said = [], []
+                key = k
+                node.append(i)
+                said.append(np.frombuffer(s.as_py(), "<u8"))
+        if node:
+            yield found()
 
     rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
     docs = staged(rows.mapInArrow(read, "key long, whole long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
     nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in columns]), "distinct-texts")
-    pairs = staged(candidate_pairs(nodes), "pairs")
-    ends = sent_if_few(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "ends")
-    sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, said binary"), "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("said").alias("p")), "a").join(sets.select(F.col("node").alias("b"), F.col("said").alias("q")), "b")
-    roots = connected_components(both.select("a", "b", "p", "q").mapInArrow(alike, "a long, b long"))
+    loose = staged(connected_components(candidate_pairs(nodes)), "loose-groups")
+    ends = sent_if_few(loose.select(F.col("node").alias("key")), "ends")
+    sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
+    blocks = sets.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("blocks > 1")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).alias("own")
+    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda i: (i != F.col("own")) | F.col("blocks").isNull())).alias("other")
+    dealt = sets.join(blocks, "root", "left").select("root", "node", "said", "blocks", own).select("root", F.col("own"), "node", "said", others).select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "said")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = dealt.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(alike, "a long, b long")
+    roots = connected_components(edges)
     of = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("group"))
     return docs.select("key", "whole").join(of, "whole").select("key", "group")

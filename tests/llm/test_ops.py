@@ -340,6 +340,51 @@ def test_similar_groups(spark):
     assert op8_simhash.similar_groups(frame(spark, docs).limit(0), "doc_id").count() == 0
 
 
+def brute_groups(texts: list[str]) -> list[int]:
+    """For each text the first that it is linked to by steps of Jaccard similarity 0.8 or more of five-word shingles."""
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({hash(tuple(w[i : i + 5])) for i in range(max(len(w) - 4, 1))})
+    group = list(range(len(sets)))
+
+    def root(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                p, q = sorted((root(i), root(j)))
+                group[q] = p
+    return [root(i) for i in range(len(sets))]
+
+
+def groups_of(spark, texts: list[str]) -> list[int]:
+    got = {r["key"]: r["group"] for r in op8_simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def star(n: int) -> list[str]:
+    """A text of 200 words and ``n`` copies with four words changed: alike to the text, but hardly to each other."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [base] + [list(base) for _ in range(n)]
+    for words in texts[1:]:
+        for at in rng.sample(range(5, 195), 4):
+            words[at] = f"e{rng.randrange(10**6)}"
+    return [" ".join(words) for words in texts]
+
+
+def test_similar_groups_of_a_star(spark):
+    texts = star(1000)
+    want = brute_groups(texts)
+    missed = [i for i, (x, y) in enumerate(zip(groups_of(spark, texts), want)) if x != y]
+    assert want.count(0) > 990 and len(missed) <= 5, len(missed)
+
+
 def test_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op8_simhash, "BLOCK", 2)
     test_near_duplicates(spark, 4)
