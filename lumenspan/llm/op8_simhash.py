@@ -19,11 +19,16 @@ a text shorter than a shingle is one shingle; repeated rows share their
 component; a NULL id takes part in no minimum but is returned; an empty table
 gives an empty result; other columns are not read.
 
-``similar_groups`` serves text similarity instead of a number of bits.  Its
-fingerprints are wider and made of word pairs, which stay close where longer
-shingles are torn; the same plan and buckets link members loosely, and within
-each loose group a search by the exact Jaccard similarity of the word shingles
-tests every pair that is not yet connected.
+``similar_groups`` serves text similarity instead of a number of bits.  Two sets
+of n and more shingles with Jaccard similarity J share at least Jn of them, so
+by the pigeonhole principle the least n - Jn + 1 of each have one in common,
+whatever order is used: this meets every pair, where no affordable threshold on
+bits does (at 0.8 a pair differs in 29 of 192 bits on average, and a plan must
+cover the deviations too).  Members that meet are linked loosely if their wide
+fingerprints are within ``WIDE_MOST`` bits, and within each loose group a search
+by the exact similarity tests every pair that is not yet connected.  Shingles
+common in a sample come last in the order, so that passages many texts share
+make no large buckets.
 """
 
 from __future__ import annotations
@@ -295,8 +300,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: 64-bit words of a wide fingerprint, and the bits by which a pair of it may differ in buckets and when it is verified.
-WIDE, WIDE_TAU, WIDE_MOST = 3, 13, 40
+#: 64-bit words of a wide fingerprint, and the bits by which members of a loose group may differ by steps.  A pair at
+#: Jaccard similarity 0.8 differs in 29 on average with deviation 5, so seven deviations are allowed; strangers differ in 96.
+WIDE, WIDE_MOST = 3, 64
+#: About as many texts are sampled for common shingles; a shingle in ``COMMON`` of them or more is common.
+SAMPLE, COMMON = 10_000, 5
 #: Shingles of a loose group that are searched as one block; a larger group is dealt in pairs of blocks, which loses no pair.
 SHINGLES = 1 << 21
 
@@ -323,14 +331,22 @@ def _shingles(keys: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(keys: list[np.ndarray]) -> np.ndarray:
-    """A row of ``WIDE`` words for each text: the SimHash of its pairs of words."""
-    pairs = [_shingles(k, 2) for k in keys]
-    h, counts = np.concatenate(pairs), np.array([len(p) for p in pairs])
+def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``WIDE`` words for each set of shingles: its SimHash."""
+    h, counts = np.concatenate(sets), np.array([len(x) for x in sets])
     salted = (_mix(h + np.uint64((w + 1) * 0xD1342543DE82EF95 % (1 << 64))) for w in range(WIDE))
     return np.stack([majorities(x, counts) for x in salted], axis=1)
 
 
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The least shingles of a sorted set, one of which any set as similar has among its own; ``common`` (sorted) ones come last."""
+    take = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1 if len(shingles) else 0
+    if not len(common) or not take:
+        return shingles[:take]
+    last = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+    return np.concatenate([shingles[~last], shingles[last]])[:take]
+
+
 def whole_hash(keys: np.ndarray) -> int:
     """A hash of a sequence of words."""
     at = np.arange(1, len(keys) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -348,17 +364,18 @@ def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterato
         yield start, texts
 
 
-def wide_forest(fp: np.ndarray, most: int) -> tuple[list[int], list[int]]:
-    """As ``forest``, for fingerprints of ``WIDE`` words; the edges are places in ``fp``."""
-    left, rest, a, b = np.arange(len(fp)), fp, [], []
+def wide_forest(fp: np.ndarray, size: np.ndarray, most: int, similarity: float) -> tuple[list[int], list[int]]:
+    """As ``forest``, for fingerprints of ``WIDE`` words of sets of ``size`` shingles; the edges are places in ``fp``."""
+    left, rest, sizes, a, b = np.arange(len(fp)), fp, size, [], []
     while len(left) > 1:
-        front, left, rest = [int(left[0])], left[1:], rest[1:]
+        front, left, rest, sizes = [int(left[0])], left[1:], rest[1:], sizes[1:]
         while front and len(left):
             x = front.pop()
             near = np.bitwise_count(rest ^ fp[x]).sum(axis=1) <= most
+            near &= np.minimum(sizes, size[x]) >= similarity * np.maximum(sizes, size[x])
             if near.any():
                 found = left[near].tolist()
-                left, rest = left[~near], rest[~near]
+                left, rest, sizes = left[~near], rest[~near], sizes[~near]
                 a += [x] * len(found)
                 b += found
                 front += found
@@ -409,46 +426,104 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> tuple[list[int]
     return a, b
 
 
-def candidate_pairs(nodes: DataFrame, tau: int = WIDE_TAU, most: int = WIDE_MOST) -> DataFrame:
-    """(a, b): edges that connect all nodes of a bucket that are linked by steps of ``most`` bits or fewer."""
-    columns = [f"f{w}" for w in range(WIDE)]
-    parts = plan(nodes, tau, columns)
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key and its rows (as a matrix of the other columns), from batches of longs sorted by their first column."""
+    key, held = None, []
+    for batch in batches:
+        k = batch.column(0).to_numpy()
+        if not len(k):
+            continue
+        rows = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+        cuts = np.flatnonzero(np.diff(k)) + 1
+        for at, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
+            if key is not None and k[at] != key:
+                yield key, held[0] if len(held) == 1 else np.concatenate(held)
+                held = []
+            key = int(k[at])
+            held.append(rows[at:end].copy() if end == len(k) else rows[at:end])
+    if held:
+        yield key, held[0] if len(held) == 1 else np.concatenate(held)
+
+
+def common_shingles(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
+    """Sorted: the shingles in ``COMMON`` or more of a sample of the ``n`` ``texts``."""
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
-                cols = [part.column(i).to_numpy() for i in range(WIDE + 1)]
-                keys = _keys(np.stack(cols[1:], axis=1).view(np.uint64), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(np.repeat(c, keys.shape[1])) for c in cols]], ["k", "node", *columns])
+            for _, said in _text_slices(b, 0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(_shingles(k, shingle)) for k in _word_keys(said, powers)]).view(np.int64))], ["h"])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(n // SAMPLE, 1))) == 0).select("text").distinct() if n > SAMPLE else texts.select("text").distinct()
+    got = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(1_000_000).select("h").toArrow()
+    return np.sort(got.column("h").to_numpy().view(np.uint64))
 
-        def found(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            every = np.concatenate(rows)
-            if len(every) > 1:
-                a, b = wide_forest(np.ascontiguousarray(every[:, 1:]).view(np.uint64), most)
-                yield pa.RecordBatch.from_arrays([pa.array(every[a, 0]), pa.array(every[b, 0])], ["a", "b"])
 
-        for batch in batches:
-            k = batch.column(0).to_numpy()
-            if not len(k):
-                continue
-            rows = np.stack([batch.column(i).to_numpy() for i in range(1, WIDE + 2)], axis=1)
-            cuts = np.flatnonzero(np.diff(k)) + 1
-            for at, part in zip([0, *cuts.tolist()], np.split(rows, cuts)):
-                if key is not None and k[at] != key:
-                    yield from found(held)
-                    held = []
-                key = k[at]
-                held.append(part.copy())
-        if held:
-            yield from found(held)
+def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similarity: float, shingle: int) -> DataFrame:
+    """(a, b): edges that connect all nodes that share a shingle of their prefixes and are linked by steps of ``WIDE_MOST`` bits.
+
+    ``texts`` has (whole, text), ``nodes`` a row for each distinct ``whole``.
+    """
+    columns = [f"f{w}" for w in range(WIDE)]
+    sent = texts.sparkSession.sparkContext.broadcast(common)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, order, seen = Powers(), sent.value, set()
+        for b in batches:
+            for start, said in _text_slices(b, 0):
+                keys = _word_keys(said, powers)
+                whole = [whole_hash(k) for k in keys]
+                if len(seen) > 100_000:
+                    seen.clear()
+                h = []
+                for w, k in zip(whole, keys):
+                    h.append(np.zeros(0, np.uint64) if w in seen else prefix_of(np.unique(_shingles(k, shingle)), similarity, order))
+                    seen.add(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.repeat(np.array(whole, np.uint64).view(np.int64), [len(x) for x in h]))], ["h", "whole"])
 
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.select("node", *columns).mapInArrow(deal, "k long, node long, " + ", ".join(f"{c} long" for c in columns))
-    return dealt.repartition(n, "k").sortWithinPartitions("k", "node").mapInArrow(meet, "a long, b long").distinct()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The members of each bucket, numbered by what they are: many shingles have the same."""
+        seen, out, n = set(), [], 0
+        for _, rows in runs_of(batches):
+            if len(rows) == 1:
+                continue
+            whole = np.unique(rows[:, 0])
+            if len(whole) == 1:
+                continue
+            bucket = int(_mix(_mix(whole.view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
+            if bucket in seen:
+                continue
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.add(bucket)
+            out.append((bucket, whole))
+            n += len(whole)
+            if n > 50_000:
+                yield said(out)
+                out, n = [], 0
+        if out:
+            yield said(out)
+
+    def said(out: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _ in out], [len(w) for _, w in out])), pa.array(np.concatenate([w for _, w in out]))], ["bucket", "whole"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list[int], list[int]] = ([], [])
+        for _, rows in runs_of(batches):
+            a, b = wide_forest(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), rows[:, 1], WIDE_MOST, similarity)
+            out[0].extend(rows[a, 0].tolist())
+            out[1].extend(rows[b, 0].tolist())
+            if len(out[0]) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                out = ([], [])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.select("text").mapInArrow(prefixes, "h long, whole long")
+    met = dealt.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(meet, "bucket long, whole long").distinct()
+    members = staged(met, "buckets").join(nodes, "whole").select("bucket", "node", "n", *columns)
+    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a long, b long").distinct()
 
 
 def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -464,8 +539,9 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
             for start, texts in _text_slices(b, 1):
                 keys = _word_keys(texts, powers)
                 whole = np.array([whole_hash(k) for k in keys], np.uint64)
-                fps = wide_fingerprints(keys)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(whole.view(np.int64)), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(WIDE)]], ["key", "whole", *columns])
+                sets = [np.unique(_shingles(k, shingle)) for k in keys]
+                fps = wide_fingerprints(sets)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(whole.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), *[pa.array(np.ascontiguousarray(fps[:, w]).view(np.int64)) for w in range(WIDE)]], ["key", "whole", "n", *columns])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -493,9 +569,10 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
             yield found()
 
     rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
-    docs = staged(rows.mapInArrow(read, "key long, whole long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
-    nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in columns]), "distinct-texts")
-    loose = staged(connected_components(candidate_pairs(nodes)), "loose-groups")
+    docs = staged(rows.mapInArrow(read, "key long, whole long, n long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
+    nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in ("n", *columns)]), "distinct-texts")
+    common = common_shingles(rows, nodes.count(), shingle)
+    loose = staged(connected_components(loose_pairs(rows, nodes, common, similarity, shingle)), "loose-groups")
     ends = sent_if_few(loose.select(F.col("node").alias("key")), "ends")
     sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
     blocks = sets.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("blocks > 1")
