@@ -411,6 +411,14 @@ def test_similar_groups_close_to_the_threshold(spark, monkeypatch, common):
     assert groups_of(spark, texts) == want
 
 
+def test_similar_groups_in_blocks(spark, monkeypatch):
+    """A small star whose base lies in one block and most copies in others."""
+    monkeypatch.setattr(op8_simhash, "BLOCK", 16)
+    monkeypatch.setattr(op8_simhash, "SHINGLES", 16 * 196, raising=False)
+    texts = star(30)
+    assert groups_of(spark, texts) == brute_groups(texts)
+
+
 def test_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op8_simhash, "BLOCK", 2)
     test_near_duplicates(spark, 4)
