@@ -1,15 +1,17 @@
 """Personal data: fixed patterns, and terms that give protected values away.
 
 The base finds e-mail addresses, IPv4 addresses, card and phone numbers.  Each
-value found is a protected entity.  Over the whole corpus, terms near an entity
-are counted, and the share of the entity's information that a term discloses is
+value found is a protected entity, and the terms of a document that holds it are
+a context.  Over the whole corpus the share of the entity's information that a
+term discloses is
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(p(t, c) / (p(t) p(c))) / -log p(c)
 
-with p over distinct contexts for c and distinct documents for t (Sanchez and
-Batet's C-sanitisation).  A term near c in enough distinct contexts whose
-disclosure reaches ``remove_at`` is removed; one that reaches ``generalise_at``
-is replaced by its kind, and the spans of both are added to the base ones.
+with p over distinct contexts for c and documents for t (Sanchez and Batet's
+C-sanitisation).  A term in enough distinct contexts of c whose disclosure
+reaches ``remove_at`` is removed; one that reaches ``generalise_at`` is replaced
+by its kind: wherever it stands in the corpus, beside the value or in a document
+without it.  The spans of both are added to the base ones.
 
 Only terms with that support can disclose, so these are counted first; if there
 are few (a checked bound) their counts over the corpus come from one pass that
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -45,11 +47,9 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TWO_DIGITS = re.compile(r"[0-9][0-9. -]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Words on either side of an entity that may disclose it.
-REACH = 6
 #: Distinct contexts of an entity that must hold a term before it can disclose.
 SUPPORT = 3
-#: Candidate terms that one pass may know by heart; beyond, words are counted by a shuffle.
+#: Candidate terms (or entities) that one pass may know by heart; beyond, words are counted by a shuffle.
 KNOWN_TERMS = 50_000
 
 
@@ -108,12 +108,8 @@ def entity_key(kind: str, value: str) -> int:
     return term_key(f"{kind}:{plain}")
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int, list[tuple[str, int, int]]]]:
-    """For each span its entity, and the terms near it with their places."""
-    if not spans:
-        return
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-    firsts = [w[0] for w in words]
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """The terms of ``text`` outside ``spans``, with their places."""
     taken: list[list[int]] = []  # the spans' union
     for _, s, e in sorted(spans, key=lambda x: x[1]):
         if taken and s <= taken[-1][1]:
@@ -121,43 +117,64 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[int
         else:
             taken.append([s, e])
     ends = [x[1] for x in taken]
-    free = lambda a, b: (i := bisect_right(ends, a)) == len(taken) or taken[i][0] >= b
-
-    for kind, s, e in spans:
-        i, j = max(bisect_right(firsts, s) - 1, 0), bisect_left(firsts, e)
-        near = []
-        for a, b in words[max(0, i - REACH) : i] + words[j : j + REACH]:
-            t = term_of(text[a:b])
-            if len(t) > 2 and free(a, b):
-                near.append((t, a, b))
-        yield entity_key(kind, text[s:e]), near
+    for m in _WORD.finditer(text):
+        t, i = term_of(m[0]), bisect_right(ends, m.start())
+        if len(t) > 2 and (i == len(taken) or taken[i][0] >= m.end()):
+            yield t, m.start(), m.end()
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
 
-def cooccurrence(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, context, term): each distinct context of each entity, a row per term near it."""
+def _context(text: str, spans: list[tuple[str, int, int]]) -> tuple[int, list[str]]:
+    terms = sorted({x[0] for x in free_terms(text, spans)})
+    return term_key("\0".join(terms)), terms
+
+
+def entity_contexts(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, context): each distinct context of each entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = set()
             for t in b.column(0).to_pylist():
-                for entity, near in contexts(t, base_spans(t)):
-                    terms = sorted({x[0] for x in near})
-                    context = term_key("\0".join(terms))
-                    rows.update((entity, context, term_key(x)) for x in terms)
+                if spans := base_spans(t):
+                    context, _ = _context(t, spans)
+                    rows.update((entity_key(k, t[s:e]), context) for k, s, e in spans)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["entity", "context", "term"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["entity", "context"])
+
+    return _texts(df, text_col).mapInArrow(run, "entity long, context long").distinct()
+
+
+def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int] | None = None) -> DataFrame:
+    """(entity, context, term): each distinct context of each entity (of ``entities``, if given), a row per term in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                spans = base_spans(t)
+                own = {entity_key(k, t[s:e]) for k, s, e in spans}
+                if entities is not None:
+                    own &= entities
+                if own:
+                    context, terms = _context(t, spans)
+                    keys = [term_key(x) for x in terms]
+                    for entity in own if keys else ():
+                        n = len(keys)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([entity] * n, [context] * n, keys)], ["entity", "context", "term"])
 
     return _texts(df, text_col).mapInArrow(run, "entity long, context long, term long").distinct()
 
 
 def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, share): terms with support and the share of the entity's information that each discloses."""
-    seen = staged(cooccurrence(df, text_col), "contexts")
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
+    held = entity_contexts(df, text_col).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    n_entity = staged(held, "entities")  # fewer contexts support no term
+    n_entities = n_entity.count()
+    entities = frozenset(r["entity"] for r in n_entity.collect()) if n_entities <= KNOWN_TERMS else None
+    pairs = cooccurrence(df, text_col, entities).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT) if n_entities else df.sparkSession.createDataFrame([], "entity long, term long, n_both long")
     pairs = staged(pairs, "supported-terms")
     candidates = pairs.select("term").distinct()
     n_candidates = candidates.count()
@@ -171,7 +188,7 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
         keys: dict[str, int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                for x in {term_of(w) for w in t.split()}:
+                for x in {term_of(w) for w in set(_WORD.findall(t))}:
                     if (k := keys.get(x)) is None:
                         if len(keys) > 200_000:
                             keys.clear()
@@ -185,7 +202,6 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
     n_term = _texts(df, text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    n_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_entity"))
     n_docs = df.count()
     log = lambda x: F.log(x.cast("double") / n_docs)
     both, term, entity = F.col("n_both"), F.greatest("n_term", "n_both"), F.col("n_entity")
@@ -193,42 +209,51 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
     return pairs.join(n_entity, "entity").join(n_term, "term").select("entity", "term", share.alias("share"))
 
 
-def _judged(df: DataFrame, text_col: str, generalise_at: float, remove_at: float) -> dict[tuple[int, int], bool] | DataFrame:
-    """(entity, term) to whether it is removed (else generalised); a DataFrame where there are too many to send."""
-    found = disclosures(df, text_col).where(F.col("share") >= generalise_at).select("entity", "term", (F.col("share") >= remove_at).alias("gone"))
-    found = staged(found, "disclosing")
+def _judged(df: DataFrame, text_col: str, generalise_at: float, remove_at: float) -> dict[int, bool] | DataFrame:
+    """Each disclosing term to whether it is removed (else generalised); a DataFrame where there are too many to send."""
+    found = disclosures(df, text_col).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= generalise_at)
+    found = staged(found.select("term", (F.col("share") >= remove_at).alias("gone")), "disclosing")
     if found.count() > KNOWN_TERMS:
         return found
-    return {(r["entity"], r["term"]): r["gone"] for r in found.collect()}
+    return {r["term"]: r["gone"] for r in found.collect()}
+
 
+def term_spans(text: str, spans: list[tuple[str, int, int]], judged: dict[int, bool], words: dict[str, bool | None]) -> list[tuple[str, int, int]]:
+    """Spans of the disclosing terms of ``text`` outside ``spans``: ``term`` to remove, ``hint`` to generalise.
 
-def term_spans(text: str, spans: list[tuple[str, int, int]], judged: dict[tuple[int, int], bool]) -> list[tuple[str, int, int]]:
-    """Spans of the terms near ``spans`` that disclose them: ``term`` to remove, ``hint`` to generalise."""
-    out = set()
-    for entity, near in contexts(text, spans):
-        for t, a, b in near:
-            if (gone := judged.get((entity, term_key(t)))) is not None:
-                out.add(("term" if gone else "hint", a, b))
-    gone = {x[1:] for x in out if x[0] == "term"}
-    return sorted(x for x in out if x[0] == "term" or x[1:] not in gone)
+    ``words`` remembers words that ``judged`` was asked for.
+    """
+    if not judged:
+        return []
+    if len(words) > 200_000:
+        words.clear()
+    any_found = False
+    for w in set(_WORD.findall(text)):
+        if w not in words:
+            words[w] = judged.get(term_key(t)) if len(t := term_of(w)) > 2 else None
+        any_found |= words[w] is not None
+    if not any_found:
+        return []
+    return sorted(("term" if words[text[a:b]] else "hint", a, b) for _, a, b in free_terms(text, spans) if words[text[a:b]] is not None)
 
 
 def _with_judged(df: DataFrame, columns: list, judged: dict | DataFrame, text_col: str) -> tuple[DataFrame, dict | None]:
-    """The rows; beyond the bound each has the judgements of its own entities as a column."""
+    """The rows; beyond the bound each has the judgements of its own terms as a column."""
     rows = df.select(*columns)
     row_id, name = unused(rows, "row_id", "judged")
     if isinstance(judged, dict):
-        return rows.withColumn(name, F.lit(None).cast("array<struct<entity:long,term:long,gone:boolean>>")), judged
+        return rows.withColumn(name, F.lit(None).cast("array<struct<term:long,gone:boolean>>")), judged
 
-    def entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(r, entity_key(k, t[s:e])) for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, s, e in base_spans(t)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(got))], ["row_id", "entity"])
+            for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys = [term_key(x) for x in {term_of(w) for w in set(_WORD.findall(t))} if len(x) > 2]
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array([r] * len(keys), pa.int64()), pa.array(keys, pa.int64())], ["row_id", "term"])
 
     rows = staged(rows.withColumn(row_id, F.monotonically_increasing_id()), "rows")
-    own = rows.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(entities, "row_id long, entity long")
-    per_row = own.join(judged, "entity").groupBy(F.col("row_id").alias(row_id)).agg(F.collect_set(F.struct("entity", "term", "gone")).alias(name))
+    own = rows.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(terms, "row_id long, term long")
+    per_row = own.join(judged, "term").groupBy(F.col("row_id").alias(row_id)).agg(F.collect_list(F.struct("term", "gone")).alias(name))
     return rows.join(per_row, row_id, "left").drop(row_id), None
 
 
@@ -238,11 +263,12 @@ def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, bool | None] = {}
         for b in batches:
             out = []
             for i, t, own in zip(*(b.column(c).to_pylist() for c in (0, 1, 2))):
                 base = base_spans(t or "")
-                more = term_spans(t or "", base, known if known is not None else {(x["entity"], x["term"]): x["gone"] for x in own or []})
+                more = term_spans(t or "", base, known, words) if known is not None else term_spans(t or "", base, {x["term"]: x["gone"] for x in own or []}, {})
                 said = [f"{k}:{s}:{e}" for k, s, e in base]
                 n = Counter(x[0] for x in base)
                 out.append((i, *(n[k] for k in KINDS), hashlib.sha256(",".join(said).encode()).hexdigest(), ",".join(said + [f"{k}:{s}:{e}" for k, s, e in more])))
@@ -272,13 +298,15 @@ def sanitise(df: DataFrame, text_col: str = "text", generalise_at: float = 0.8,
     at, schema = df.columns.index(text_col), df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, bool | None] = {}
         for b in batches:
             texts = []
             for t, own in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 if t is not None:
                     base = base_spans(t)
-                    if base:
-                        t = redact(t, base + term_spans(t, base, known if known is not None else {(x["entity"], x["term"]): x["gone"] for x in own or []}))
+                    more = term_spans(t, base, known, words) if known is not None else term_spans(t, base, {x["term"]: x["gone"] for x in own or []}, {})
+                    if base or more:
+                        t = redact(t, base + more)
                 texts.append(t)
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             cols[at] = pa.array(texts, pa.string())

@@ -102,6 +102,21 @@ def test_pii_report(spark):
     assert clean[300] == "mail [EMAIL], [PHONE], [IP], [CARD]" and clean[1] is None and clean[7] == dict(docs)[7] and "zanzibarine" not in clean[201]
 
 
+@pytest.mark.parametrize("bound", [50_000, 0])
+def test_pii_terms_far_from_the_value(spark, monkeypatch, bound):
+    """A disclosing term goes far from the value, and from a document without it; a common word stays."""
+    monkeypatch.setattr(op2_pii, "KNOWN_TERMS", bound)
+    rng = random.Random(6)
+    docs = [(i, f"Zanzibarine! {prose(rng, 40)} kept jo@x.example {prose(rng, 5)}") for i in range(4)] + [(9, f"{prose(rng, 10)} kept zanzibarine {prose(rng, 10)}")]
+    docs += [(100 + i, f"{prose(rng, 30)} kept") for i in range(300)]
+    clean = {r["doc_id"]: r["text"] for r in op2_pii.sanitise(frame(spark, docs)).collect()}
+    spans = {r["doc_id"]: r["spans"] for r in op2_pii.pii_report(frame(spark, docs)).collect()}
+    for i in (0, 1, 2, 3, 9):
+        assert "zanzibarine" not in clean[i].lower() and " kept " in clean[i]
+        assert "term" in spans[i] or "hint" in spans[i]
+    assert all(clean[i] == t for i, t in docs if i >= 100)
+
+
 def test_pii_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(op2_pii, "KNOWN_TERMS", 0)
     test_pii_report(spark)
