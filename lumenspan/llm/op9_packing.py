@@ -1,9 +1,10 @@
 """Packing by lexical retrieval.
 
-1. Texts become ids.  The tokenizer never joins across ASCII white space, splits
-   a full stop or comma off a letter, and ignores ASCII case, so a text's ids are
-   those of its words in order; each distinct word is encoded once and
-   remembered.  Ids and a min-hash of the words are written to the shared folder.
+1. Texts become ids.  A tokenizer that never joins across ASCII white space, splits
+   a full stop or comma off a letter, and ignores ASCII case, gives a text the
+   ids of its words in order, so each distinct word is encoded once and
+   remembered; any other (probed at start) encodes whole texts.  Ids and a
+   min-hash of the words are written to the shared folder.
 2. Documents are range-partitioned by the min-hash (then by id, so that ties
    split), which puts lexically near documents side by side and gives each task
    about as many rows.
@@ -24,7 +25,6 @@ from __future__ import annotations
 import sys
 import types
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +35,11 @@ from pyspark.sql import functions as F
 from .common import staged
 from .repeats import Powers, Prefix
 
-#: Words that a worker remembers the ids of, over all its tasks.
-REMEMBERED = 500_000
+#: Words that a worker remembers the ids of, over all its tasks: about 35 bytes each.
+REMEMBERED = 1 << 20
+#: Bytes of a worker's first texts, and texts of all habits, on which encoding by words is held against encoding whole texts.
+CHECKED = 1 << 16
+PROBES = ["The cat, it's here.  A.B,c. 3.14, 1,000.\tEnd\n\nNew", "Ünïcode “quoted”, straße. Don't x, y.. z,, .a ,b I'LL o'Neil's,", "a_b-c <|endoftext|> <|EndOfText|> <b>Bold.</b> e\u0301t\u00a0nbsp 中文，混合. ΣΑΣ. İx"]
 #: Bytes of text that are encoded at once; a shard of the index ends at so many documents or ids.
 BLOCK_BYTES, SHARD_DOCS, SHARD_IDS = 1 << 20, 4096, 2 << 20
 #: BM25's parameters, and the most telling ids of a seed that make its query.
@@ -48,7 +51,10 @@ _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 
 
 class WordIds:
-    """Ids of words; ``ids[starts[i] : starts[i] + sizes[i]]`` are those of the i-th word seen."""
+    """Ids of words: ``ids[starts[i] : starts[i] + sizes[i]]`` are those of the word whose hash is ``keys[i]``; keys are sorted.
+
+    Words are told apart by a 64-bit hash; among the million that are remembered two meet with a chance of 3e-8.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -56,27 +62,52 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.powers = Powers()
-        self.punctuation = [self._encode(x) for x in (b".", b",")]
+        self.punctuation = [self._encode(x) for x in (".", ",")]
         self.forget()
+        self.checked = 0
+        self.by_word = [len(x) for x in self.punctuation] == [1, 1] and self._same([x.encode() for x in PROBES])
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _encode(self, word: bytes) -> list[int]:
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+    def _same(self, texts: list[bytes]) -> bool:
+        """Whether words give the ids that the whole texts give."""
+        got, _ = self._by_word(texts, None)
+        return all(x.tolist() == self._encode(t.decode("utf-8", "replace")) for x, t in zip(got, texts))
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids, self.starts, self.sizes = array("I"), array("q"), array("q")
-
-    def _index(self, key: int, word: bytes) -> int:
-        got = self._encode(word)
-        self.known[key] = i = len(self.starts)
-        self.starts.append(len(self.ids))
-        self.sizes.append(len(got))
-        self.ids.extend(got)
-        return i
-
-    def encode(self, texts: list[bytes], end: int) -> tuple[list[np.ndarray], list[int | None]]:
-        """Each text's ids, ``end`` last, and the smallest hash of its words."""
-        if len(self.known) > REMEMBERED:
+        self.keys, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(1, np.uint32)
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encodes new words (``keys`` are sorted) in one text; the place of each id tells its word."""
+        said = b" ".join(words).decode("utf-8", "replace")
+        got = self.tokenizer.encode(said, add_special_tokens=False)
+        ids = np.array(got.ids, np.uint32)
+        at = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
+        ends = np.cumsum(np.fromiter((len(w) + 1 for w in said.split(" ")), np.int64, len(words)))
+        sizes = np.bincount(np.searchsorted(ends, at, "right"), minlength=len(words))
+        place = np.searchsorted(self.keys, keys)
+        self.starts = np.insert(self.starts, place, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.keys = np.insert(self.sizes, place, sizes), np.insert(self.keys, place, keys)
+        self.ids = np.concatenate([self.ids, ids])
+
+    def encode(self, texts: list[bytes], end: int) -> tuple[list[np.ndarray], list[int]]:
+        """Each text's ids, ``end`` last, and the smallest hash of its words.
+
+        A tokenizer that reads a text otherwise than word by word (``PROBES`` and
+        the worker's first texts tell) encodes whole texts.
+        """
+        if self.by_word and self.checked < CHECKED:
+            some = [t for t in texts if len(t) < CHECKED][:64]
+            self.checked += sum(map(len, some))
+            self.by_word = self._same(some)
+        got, mins = self._by_word(texts, end)
+        if not self.by_word:
+            got = [np.array([*x.ids, end], np.uint32) for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        return got, mins
+
+    def _by_word(self, texts: list[bytes], end: int | None) -> tuple[list[np.ndarray], list[int]]:
+        if len(self.keys) > REMEMBERED:
             self.forget()
         raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         text = raw + 32 * ((raw >= 65) & (raw <= 90)).astype(np.uint8)
@@ -90,27 +121,28 @@ class WordIds:
         core = last - marked
         keys = Prefix(_BYTES[text], self.powers).hash(first, core) + (core - first).astype(np.uint64)
         distinct, at, word = np.unique(keys, return_index=True, return_inverse=True)
-        known, body = self.known, text.tobytes()
-        index = [known.get(k, -1) for k in distinct.tolist()]
-        for i in np.flatnonzero(np.array(index, np.int64) < 0).tolist():
-            index[i] = self._index(int(distinct[i]), body[first[at[i]] : core[at[i]]])
-        which = np.array(index, np.int64)[word]
-        ids, starts, sizes = (np.frombuffer(x, t) for x, t in ((self.ids, np.uint32), (self.starts, np.int64), (self.sizes, np.int64))) if self.ids else (np.zeros(1, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
-        size = sizes[which]
+        place = np.searchsorted(self.keys, distinct)
+        new = np.flatnonzero(place == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != distinct)
+        if len(new):
+            body = text.tobytes()
+            self._learn(distinct[new], [body[a:b] for a, b in zip(first[at[new]].tolist(), core[at[new]].tolist())])
+            place = np.searchsorted(self.keys, distinct)
+        which = place[word]
+        size = self.sizes[which].astype(np.int64)
         ends = np.cumsum([len(t) + 1 for t in texts])
         doc = np.searchsorted(ends, first, "right")
-        total = size + marked
-        begin = np.cumsum(total) - total + doc  # each text before has an end id
-        out = np.empty(int(total.sum()) + len(texts), np.uint32)
+        total, last_ids = size + marked, int(end is not None)
+        begin = np.cumsum(total) - total + doc * last_ids  # each text before has an end id
+        out = np.empty(int(total.sum()) + len(texts) * last_ids, np.uint32)
         before = np.cumsum(size) - size
         n = np.arange(int(size.sum()))
-        out[np.repeat(begin - before, size) + n] = ids[np.repeat(starts[which] - before, size) + n]
+        out[np.repeat(begin - before, size) + n] = self.ids[np.repeat(self.starts[which] - before, size) + n]
         for code, tokens in ((46, self.punctuation[0]), (44, self.punctuation[1])):
             out[(begin + size)[marked & (mark == code)]] = tokens[0]
-        per_doc = np.bincount(doc, total, len(texts)).astype(np.int64) + 1
+        per_doc = np.bincount(doc, total, len(texts)).astype(np.int64) + last_ids
         stops = np.cumsum(per_doc)
-        out[stops - 1] = end
-        del ids, starts, sizes
+        if last_ids:
+            out[stops - 1] = end
         mins = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
         np.minimum.at(mins, doc, keys)
         return np.split(out, stops[:-1]), mins.view(np.int64).tolist()
