@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -38,17 +39,23 @@ def word_array(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a single machine) is a folder of
-    its own made and set.
+    Where the setting is absent, a single machine (tests) gets a folder of its
+    own; on a cluster that is an error, since executors could not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='corpus-')}")
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
+#: What was written to shared folders: (application, path, table or "").
+_WRITTEN: list[tuple[str, str, str]] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
@@ -56,18 +63,63 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark.sparkContext.applicationId, path, ""))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of a list of keys (8 bytes each) that may be sent to every task.
-SENT_KEYS = 2_000_000
+def release(spark: SparkSession) -> None:
+    """Deletes all that ``staged`` and ``Rows`` wrote; for when the results that read it are written."""
+    own = [x for x in _WRITTEN if x[0] == spark.sparkContext.applicationId]
+    for x in own:
+        if x[2]:
+            spark.sql(f"DROP TABLE IF EXISTS {x[2]}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(x[1])
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(x)
+
 
+class Rows:
+    """Long rows at rest: ``df`` with a unique long ``key``, written once, that later joins look into where they lie.
+
+    Each task writes its rows into one bucket of a table, so writing shuffles
+    nothing, and the bucket of a row can be told from its key.  ``join`` deals
+    the other, short side to the buckets' tasks and reads the table in place:
+    the long rows are never shuffled, whatever the sizes.
+    """
 
-def sent_if_few(keys: DataFrame, name: str) -> DataFrame:
-    """``keys``, staged and counted, for a broadcast if they are at most ``SENT_KEYS``; else for a join by shuffle."""
-    keys = staged(keys, name)
-    return F.broadcast(keys) if keys.count() <= SENT_KEYS else keys
+    def __init__(self, df: DataFrame, key: str, name: str) -> None:
+        spark = df.sparkSession
+        self.key, (self.bucket,) = key, unused(df, "bucket")
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        values = spark.range(20 * self.n).groupBy(F.pmod(F.hash("id"), F.lit(self.n)).alias("of")).agg(F.min("id").alias("value")).collect()
+        self.values = [r["value"] for r in sorted(values, key=lambda r: r["of"])]
+        path, table = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        _WRITTEN.append((spark.sparkContext.applicationId, path, table))
+        # a bucket's tasks then serve a join by (bucket, key) without another shuffle
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        rows = df.withColumn(key, F.monotonically_increasing_id())
+        rows.withColumn(self.bucket, self._of(F.col(key))).write.bucketBy(self.n, self.bucket).option("path", path).format("parquet").saveAsTable(table)
+        self.all = spark.table(table)
+
+    def _of(self, key: Column) -> Column:
+        """The bucket of a key: tasks are dealt to buckets in turn."""
+        turn = F.shiftright(key, 33) % len(self.values)
+        return F.element_at(F.lit(self.values), turn.cast("int") + 1)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.all.drop(self.bucket)
+
+    def dealt(self, few: DataFrame) -> DataFrame:
+        """``few``, which has the key, with its bucket, in the buckets' tasks: a group by key needs no further shuffle."""
+        return few.withColumn(self.bucket, self._of(F.col(self.key))).repartition(self.n, self.bucket)
+
+    def join(self, few: DataFrame, how: str = "inner", *columns: str) -> DataFrame:
+        """The rows (or ``columns`` of them) joined by key with ``few``, a row a key at most."""
+        own = self.all.select(self.bucket, self.key, *columns) if columns else self.all
+        few = few if self.bucket in few.columns else self.dealt(few)
+        return own.join(few.hint("shuffle_hash"), [self.bucket, self.key], how).drop(self.bucket)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

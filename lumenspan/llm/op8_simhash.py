@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sent_if_few, staged
+from .common import Rows, staged
 from .components import connected_components
 from .repeats import Powers, Prefix, _mix
 
@@ -526,10 +526,11 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
     return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a long, b long").distinct()
 
 
-def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(key, group): rows whose sets of word shingles are alike, directly or by steps; ``group`` is the smallest key reached.
 
-    ``key_col`` numbers the rows and is unique.  Equal word sequences are one node.
+    Equal word sequences are one node.  Texts are read where they lie: once for
+    their fingerprints and prefixes, once for the sets of those in loose groups.
     """
     columns = [f"f{w}" for w in range(WIDE)]
 
@@ -568,18 +569,18 @@ def similar_groups(df: DataFrame, key_col: str, text_col: str = "text", similari
         if node:
             yield found()
 
-    rows = df.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).cast("binary").alias("text"))
+    rows = of_rows.df.select(F.col(of_rows.key).alias("key"), F.col(text_col).cast("binary").alias("text"))
     docs = staged(rows.mapInArrow(read, "key long, whole long, n long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
     nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in ("n", *columns)]), "distinct-texts")
     common = common_shingles(rows, nodes.count(), shingle)
     loose = staged(connected_components(loose_pairs(rows, nodes, common, similarity, shingle)), "loose-groups")
-    ends = sent_if_few(loose.select(F.col("node").alias("key")), "ends")
-    sets = staged(rows.join(ends, "key", "left_semi").mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
+    said = of_rows.join(loose.select(F.col("node").alias(of_rows.key)), "left_semi", text_col).select(F.col(of_rows.key), F.col(text_col).cast("binary"))
+    sets = staged(said.mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
     blocks = sets.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("blocks > 1")
     own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).alias("own")
     others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda i: (i != F.col("own")) | F.col("blocks").isNull())).alias("other")
     dealt = sets.join(blocks, "root", "left").select("root", "node", "said", "blocks", own).select("root", F.col("own"), "node", "said", others).select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "said")
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = dealt.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(alike, "a long, b long")
     roots = connected_components(edges)
     of = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("group"))

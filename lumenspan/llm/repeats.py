@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Rows, staged
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -43,8 +43,6 @@ _CHUNK = 1 << 21
 _MASK = (1 << 24) - 1
 #: Classes of one anchor hash beyond which its group is dealt over several shards.
 SPLIT_AT = 4096
-#: Repeated hashes that are sent to every task (8 bytes each); beyond, they are joined.
-SENT_HASHES = 1 << 21
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -148,39 +146,39 @@ def corpus_anchors(symbols: np.ndarray, sizes: np.ndarray, shape: Shape, powers:
 Symbols = Callable[[], Callable[[bytes], np.ndarray]]
 
 
-def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, symbols: Symbols) -> DataFrame:
+def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, symbols: Symbols) -> Rows:
     """(uid, doc_id, z, hashes, classes, places): every row with a number of its own, its text compressed and its anchors, in the shared folder."""
-    names = ["uid", "doc_id", "z", "hashes", "classes", "places"]
+    names = ["doc_id", "z", "hashes", "classes", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         z, of, powers = zstandard.ZstdCompressor(3), symbols(), Powers()
 
-        def made(uids: list, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        def made(ids: list, texts: list[bytes]) -> pa.RecordBatch:
             got = [of(t) for t in texts]
             sizes = np.array([len(g) for g in got], np.int64)
             doc, h, c, *where = corpus_anchors(np.concatenate(got), sizes, shape, powers)
             cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
             cols = [h, c, np.stack(where, axis=1).astype(np.int32)]
             blobs = [pa.array([c[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in cols]
-            return pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64()), pa.array(map(z.compress, texts), pa.binary()), *blobs], names)
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(z.compress, texts), pa.binary()), *blobs], names)
 
         for b in batches:
-            rows, size = ([], [], []), 0
-            for uid, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            rows, size = ([], []), 0
+            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py() or b""
-                for col, x in zip(rows, (uid, i, t)):
+                for col, x in zip(rows, (i, t)):
                     col.append(x)
                 size += len(t)
                 if size >= _CHUNK:
                     yield made(*rows)
-                    rows, size = ([], [], []), 0
+                    rows, size = ([], []), 0
             if rows[0]:
                 yield made(*rows)
 
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return staged(rows.mapInArrow(run, "uid long, doc_id long, z binary, hashes binary, classes binary, places binary"), "documents")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    return Rows(rows.mapInArrow(run, "doc_id long, z binary, hashes binary, classes binary, places binary"), "uid", "documents")
 
 
 def repeated_hashes(docs: DataFrame) -> DataFrame:
@@ -195,9 +193,7 @@ def repeated_hashes(docs: DataFrame) -> DataFrame:
 
 
 def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(hash, class, uid, place, left, right) of every anchor whose hash is in ``repeated``."""
-    few = repeated.count() <= SENT_HASHES
-    known = np.sort(repeated.toArrow().column(0).to_numpy()) if few else None
+    """(hash, class, uid, place, left, right) of every anchor whose hash is in ``repeated``; a hot hash is split by the skew join."""
     names = ["hash", "class", "uid", "place", "left", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +202,10 @@ def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 part = b.slice(i, 500)
                 h, c, at = (np.frombuffer(b"".join(part.column(k).to_pylist()), t) for k, t in ((1, np.int64), (2, np.int64), (3, np.int32)))
                 uid, at = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in part.column(1).to_pylist()]), at.reshape(-1, 3)
-                if known is not None:
-                    keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
-                    h, c, at, uid = h[keep], c[keep], at[keep], uid[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (h, c, uid, at[:, 0].astype(np.int64), at[:, 1], at[:, 2])], names)
 
     rows = docs.select("uid", "hashes", "classes", "places").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
-    return rows if few else rows.join(repeated, "hash", "left_semi")
+    return rows.join(repeated, "hash", "left_semi")
 
 
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
@@ -222,9 +215,9 @@ def repeated_classes(occurrences: DataFrame) -> DataFrame:
     return classes.join(groups, "hash").select("hash", "class", "n", "one.*", "classes")
 
 
-def class_texts(classes: DataFrame, docs: DataFrame, shape: Shape, cut: Callable) -> DataFrame:
+def class_texts(classes: DataFrame, docs: Rows, shape: Shape, cut: Callable) -> DataFrame:
     """``classes`` with the text of each one's context (``cut`` of a document's text), and a shard key."""
-    wanted = classes.groupBy("uid").agg(F.collect_list(F.struct("hash", "class", "n", "place", "left", "right", "classes")).alias("of"))
+    wanted = docs.dealt(classes).groupBy(docs.bucket, "uid").agg(F.collect_list(F.struct("hash", "class", "n", "place", "left", "right", "classes")).alias("of"))
     k = shape.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +239,7 @@ def class_texts(classes: DataFrame, docs: DataFrame, shape: Shape, cut: Callable
             if rows:
                 yield _class_rows(rows)
 
-    joined = docs.select("uid", "z").join(wanted, "uid").select("uid", "z", "of")
+    joined = docs.join(wanted, "inner", "z").select("uid", "z", "of")
     return joined.mapInArrow(run, "hash long, salt long, class long, n long, uid long, start long, text binary")
 
 
@@ -375,14 +368,14 @@ def sorted_runs(s: Shard, owner: np.ndarray, start: np.ndarray, key: np.ndarray,
     return out
 
 
-def repeated_intervals(docs: DataFrame, shape: Shape, cut: Callable, match: Callable[[Shard], tuple[list[tuple], list[tuple]]], shard_bytes: int) -> DataFrame:
-    """(uid, spans): for each document with repeated windows, the stretches that they cover.
+def repeated_intervals(docs: Rows, shape: Shape, cut: Callable, match: Callable[[Shard], tuple[list[tuple], list[tuple]]], shard_bytes: int) -> DataFrame:
+    """(bucket, uid, spans): for each document with repeated windows, the stretches that they cover.
 
     ``match`` takes a shard and returns rows (index, start, end) of repeated
     stretches within its texts, and rows for ``split_groups``.
     """
-    repeated = staged(repeated_hashes(docs), "repeated")
-    occurrences = staged(occurrences_of(docs, repeated), "anchors")
+    repeated = staged(repeated_hashes(docs.df), "repeated")
+    occurrences = staged(occurrences_of(docs.df, repeated), "anchors")
     classes = repeated_classes(occurrences)
     alone = classes.where("classes = 1").select("hash", "class", F.lit(0).cast("long").alias("start"), (F.col("left") + shape.k + F.col("right")).cast("long").alias("end"))
 
@@ -401,10 +394,11 @@ def repeated_intervals(docs: DataFrame, shape: Shape, cut: Callable, match: Call
     found = matched.where("range IS NULL").select("hash", "class", "start", "end")
     found = found.union(split_groups(matched.where("range IS NOT NULL").select("hash", "range", "keys", "classes", "starts", "places", "width")))
     found = found.union(alone)
-    per_class = found.groupBy("hash", "class").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    # written first, so that the join has a shuffle on each side and a hot class can be split
+    per_class = staged(found.groupBy("hash", "class").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "stretches")
     at = occurrences.join(per_class, ["hash", "class"]).select("uid", (F.col("place") - F.col("left")).alias("at"), F.explode("spans").alias("s"))
     spans = F.struct((F.col("at") + F.col("s.start")).alias("start"), (F.col("at") + F.col("s.end")).alias("end"))
-    return at.groupBy("uid").agg(F.collect_list(spans).alias("spans"))
+    return docs.dealt(at.select("uid", spans.alias("s"))).groupBy(docs.bucket, "uid").agg(F.collect_list("s").alias("spans"))
 
 
 def covered(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -418,7 +412,7 @@ def covered(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def apply_spans(docs: DataFrame, spans: DataFrame, remove: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
+def apply_spans(docs: Rows, spans: DataFrame, remove: Callable[[bytes, list[tuple[int, int]]], tuple], schema: str) -> DataFrame:
     """``remove(text, stretches)`` of every document, after its id."""
     names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
     kinds = [pa.int64(), *({"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", "))]
@@ -432,4 +426,4 @@ def apply_spans(docs: DataFrame, spans: DataFrame, remove: Callable[[bytes, list
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.join(spans, "uid", "left").select("doc_id", "z", "spans").mapInArrow(run, f"doc_id long, {schema}")
+    return docs.join(spans, "left", "doc_id", "z").select("doc_id", "z", "spans").mapInArrow(run, f"doc_id long, {schema}")

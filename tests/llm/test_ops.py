@@ -16,6 +16,7 @@ pytest.importorskip("lumenspan.llm")
 from helpers import awkward, frame, prose  # noqa: E402
 
 from lumenspan.llm import op1_html, op2_pii, op3_license, op4_chat, op5_quality, op6_automata, op7_decontam, op8_simhash, op9_packing, op10_suffix, repeats  # noqa: E402
+from lumenspan.llm.common import Rows  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -224,7 +225,6 @@ def small(docs):
 def test_passages(spark, monkeypatch, split):
     if split:
         monkeypatch.setattr(repeats, "SPLIT_AT", split)
-        monkeypatch.setattr(repeats, "SENT_HASHES", 0)
     docs = small(awkward())
     words = [WORDS.findall(t or "") for _, t in docs]
     want = [(i, len(w), sum(g), sha(" ".join(x for x, y in zip(w, g) if not y))) for (i, _), w, g in zip(docs, words, brute_cover(words, 35))]
@@ -236,7 +236,6 @@ def test_passages(spark, monkeypatch, split):
 def test_suffixes(spark, monkeypatch, split):
     if split:
         monkeypatch.setattr(repeats, "SPLIT_AT", split)
-        monkeypatch.setattr(repeats, "SENT_HASHES", 0)
     docs = small(awkward())
     texts = [(t or "").encode() for _, t in docs]
     want = []
@@ -331,6 +330,13 @@ def test_near_duplicates(spark, tau):
     assert op8_simhash.near_duplicates(frame(spark, docs).limit(0), tau=tau).count() == 0
 
 
+def similar_groups(df) -> dict[int, int]:
+    """For each row, by its place among rows in order, the first place of its group."""
+    rows = Rows(df, "row_id", "rows")
+    at = {r["row_id"]: i for i, r in enumerate(sorted(rows.df.select("row_id").collect()))}
+    return {at[r["key"]]: at[r["group"]] for r in op8_simhash.similar_groups(rows).collect()}
+
+
 def test_similar_groups(spark):
     """Groups against all pairs, on copies with few to many words changed."""
     rng = random.Random(21)
@@ -349,10 +355,10 @@ def test_similar_groups(spark):
             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 a, b = group[i], group[j]
                 group = [min(a, b) if g in (a, b) else g for g in group]
-    got = {r["key"]: r["group"] for r in op8_simhash.similar_groups(frame(spark, docs), "doc_id").collect()}
+    got = similar_groups(frame(spark, docs))
     missed = [i for i in range(len(docs)) if got[i] != group[i]]
     assert not missed, missed
-    assert op8_simhash.similar_groups(frame(spark, docs).limit(0), "doc_id").count() == 0
+    assert not similar_groups(frame(spark, docs).limit(0))
 
 
 def brute_groups(texts: list[str]) -> list[int]:
@@ -378,7 +384,7 @@ def brute_groups(texts: list[str]) -> list[int]:
 
 
 def groups_of(spark, texts: list[str]) -> list[int]:
-    got = {r["key"]: r["group"] for r in op8_simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id").collect()}
+    got = similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1))
     return [got[i] for i in range(len(texts))]
 
 
