@@ -211,7 +211,7 @@ def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 def repeated_classes(occurrences: DataFrame) -> DataFrame:
     """(hash, class, n, uid, place, left, right, classes): the classes of anchors, with one occurrence each and the number of classes of the hash."""
     classes = staged(occurrences.groupBy("hash", "class").agg(F.count("*").alias("n"), F.min(F.struct("uid", "place", "left", "right")).alias("one")), "classes")
-    groups = classes.groupBy("hash").agg(F.count("*").alias("classes"))
+    groups = staged(classes.groupBy("hash").agg(F.count("*").alias("classes")), "groups")  # written, so that the join can split a hot hash
     return classes.join(groups, "hash").select("hash", "class", "n", "one.*", "classes")
 
 
