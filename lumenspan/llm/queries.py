@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .op1_html import extract_pages
 from .op2_pii import pii_report
-from .op3_license import CONFIRM, CUES, LEAST, NOTICES, UNKNOWN, grams_of, license_scan, model, words_of
+from .op3_license import BLANK, CONFIRM, CUES, LEAST, NOTICES, UNKNOWN, WRAPPED, grams_of, license_scan, model, words_of
 from .op4_chat import chat_digests
 from .op5_quality import quality_report
 from .op6_automata import passage_dedup
@@ -136,7 +136,7 @@ def op3_sql() -> str:
     n = values([text(g), text(family), str(i), str(len(gs))] for family, ts in NOTICES.items() for i, t in enumerate(ts) for gs in [grams_of(words_of(t))] for g in sorted(gs))
     return f"""
 WITH w(g, c, x) AS ({w}), k(c, family, bias) AS ({k}), notice(g, family, i, size) AS ({n}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), {text(BLANK)}, chr(30), 'g'), {text(WRAPPED)}, '\\1 ', 'g'), '[\\n\\x1e]') AS ls FROM documents),
 line AS (SELECT r, p, said FROM (SELECT r, unnest(ls) AS said, unnest(range(len(ls))) AS p FROM d) WHERE regexp_matches(said, {text(CUES)})),
 word AS (SELECT r, p, list_filter(string_split(regexp_replace(lower(said), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM line),
 gram AS (SELECT DISTINCT r, p, array_to_string(ws[i:i + j], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM word) CROSS JOIN (VALUES (0), (1), (2)) v(j) WHERE i + j <= len(ws)),
@@ -144,7 +144,8 @@ seen AS (SELECT DISTINCT r, p FROM gram JOIN w USING (g)),
 score AS (SELECT r, p, k.c, k.family, (coalesce(sum(x), 0) + any_value(bias)) / {temperature!r} AS s FROM seen CROSS JOIN k LEFT JOIN (SELECT r, p, c, x FROM gram JOIN w USING (g)) USING (r, p, c) GROUP BY r, p, k.c, k.family),
 best AS (SELECT r, p, arg_max(family, (s, -c)) AS family, 1 / sum(exp(s - top)) AS probability FROM (SELECT *, max(s) OVER (PARTITION BY r, p) AS top FROM score) GROUP BY r, p),
 alike AS (SELECT r, p, family, max(share) AS share FROM (SELECT r, p, family, i, count(*) / any_value(size) AS share FROM gram JOIN notice USING (g) GROUP BY ALL) GROUP BY ALL),
-sure AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(DISTINCT family)), ',') AS fs FROM best JOIN alike USING (r, p, family) WHERE family <> {text(UNKNOWN)} AND probability >= {LEAST} AND share >= {CONFIRM} GROUP BY r)
+top AS (SELECT r, p, max(share) AS most FROM alike GROUP BY r, p),
+sure AS (SELECT r, count(*) AS n, array_to_string(list_sort(list(DISTINCT family)), ',') AS fs FROM best JOIN alike USING (r, p, family) JOIN top USING (r, p) WHERE family <> {text(UNKNOWN)} AND probability >= {LEAST} AND share >= {CONFIRM} AND share >= most GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_paragraphs, coalesce(fs, '') AS families FROM d LEFT JOIN sure USING (r)
 """
 

@@ -134,6 +134,21 @@ def test_licenses(spark):
     assert all(v == (0, "") for k, v in got.items() if k not in (100, 101, 103))
 
 
+def test_wrapped_licenses(spark):
+    """Whole notices, wrapped as in source files: each is its own family, not a like one."""
+    header = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2}General Public License as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details."
+    texts = {
+        "gpl-3.0": header.format("program", ":", "", ",", "3"), "gpl-2.0": header.format("program", ";", "", ";", "2"), "lgpl": header.format("library", ";", "Lesser ", ";", "2.1"), "agpl": header.format("program", ":", "Affero ", ",", "3"),
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software",
+        "apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    }
+    marks = {"": "", "# ": "# ", " * ": " * "}
+    docs = [(i, "\n".join(m + line for line in t.split("\n")), family) for i, (m, (family, t)) in enumerate((m, x) for m in marks for x in texts.items())]
+    got = {r["doc_id"]: r["families"] for r in op3_license.license_scan(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string")).collect()}
+    assert [got[i] for i, _, _ in docs] == [f for _, _, f in docs]
+
+
 def test_license_model_on_held_out_variants():
     classes, weights, temperature = op3_license.model()
     rng, right, n = np.random.default_rng(99), 0, 0
