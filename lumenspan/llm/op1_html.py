@@ -4,38 +4,53 @@ Each page is read into a tree of block elements whose leaves are texts.  Pages
 of one host are aligned one after the other: where children of an element do
 not match, what only one side has becomes optional (``?``), neighbours of one
 kind become a repeated group (``+``), and texts become slots with statistics.
-The result is a regular expression without unions, the host's wrapper.  Folding
-is done within each task first and then over tasks in two rounds, so all pages
-take part and a host with a third of them costs one wrapper per task.
-
-A page is then matched with its host's wrapper.  Slots below navigation, header,
-footer, sidebar, notice, advert, form, script, style and comment elements are
-dropped, and so are slots outside paragraphs that say the same on every page.
-What is left of the main element (``article``, ``main``, or else the deepest
-element of the wrapper with most of the varying text) is the page's text.
+The result is a regular expression without unions, the host's wrapper.  Pages of
+one structure are merged first, in any order; structures are then aligned in
+the order of their hashes, over two rounds, so the wrapper does not depend on
+how pages lie in partitions, and a host with a third of them costs one wrapper
+per task and structure.
+
+The wrapper's statistics decide what a page's text is (``judged``):
+
+* the main element is the ``article`` (else ``main``) whose slots vary most from
+  page to page outside links, so teasers and lists of articles lose to it; a
+  host without such elements has the deepest element with most of the varying
+  text;
+* within it a slot that says the same on every page, a list or box at either
+  end that is nearly all links, and elements whose tag, role or whole class
+  names a menu, sidebar, notice, advert, form or comments are dropped.  Names
+  only break ties: where they would drop nearly all that varies, the element
+  that varies most is kept in spite of its name.
+
+A page is matched with its host's wrapper, and what falls to kept slots of the
+main element is its text.
 
 Edge cases: a NULL or empty page gives an empty text; a NULL url is a host of
 its own; repeated rows are extracted each; a page without a main element or with
-broken markup is read as browsers do (implied ends, unknown ends ignored);
-nesting beyond ``DEPTH`` is flattened, its text stays; an empty table gives an
-empty result; other columns are ignored.
+broken markup is read as browsers do (implied ends, unknown ends ignored); a
+raw element that is never closed ends at once (scripts and styles: with the
+page); nesting beyond ``DEPTH`` is kept as text of the element at that depth; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
 
-DEPTH = 48
+#: Elements within each other that are told apart.
+DEPTH = 200
 #: Bytes of wrappers that are sent to every task; beyond, they are joined by host.
 SENT_BYTES = 16 << 20
 #: Pages that must agree before a slot's text counts as the host's own.
@@ -51,17 +66,21 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"html", "body", "table", "ul", "ol", "dl", "article", "section", "main", "div", "td", "th", "nav", "aside", "header", "footer", "form", "blockquote"}
 PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset"}
+DROPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "fieldset", "button", "select"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
+#: Whole names of classes and ids that speak of no article, those that do so only together with others, and words that join them.
 NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
-    "notice", "notification", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "reply", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "discussion", "disqus", "footer", "gdpr", "hidden", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter",
+    "notice", "notification", "pager", "pagination", "popup", "promo", "promoted", "recommended", "related", "responses", "sharing", "share", "sidebar", "signup", "sponsor", "sponsored", "subscribe", "subscription", "teaser", "teasers", "toolbar", "topbar", "widget",
 }
+PARTIAL = {"reply", "replies", "respond", "search", "skip", "social", "tags", "thread", "reader", "readers", "user", "users"}
+JOINING = {"area", "bar", "block", "box", "buttons", "container", "content", "feed", "field", "form", "group", "icons", "inner", "item", "items", "left", "link", "links", "list", "main", "page", "panel", "policy", "right", "section", "site", "slot", "text", "title", "to", "top", "bottom", "wrap", "wrapper"}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _REST = re.compile(r"(?:[^\"'>]|\"[^\"]*\"|'[^']*')*+>")
 _ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 _PARTS = re.compile(r"[a-z]+")
+_BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b", re.I)
 _HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", re.I)
 
 
@@ -72,8 +91,15 @@ class Element:
         self.tag, self.key, self.kids, self.dropped, self.depth = tag, key, [], dropped, depth
 
 
+def _names_junk(name: str) -> bool:
+    """Whether a class or id as a whole speaks of something other than the article; numbers in it don't count."""
+    parts = set(_PARTS.findall(name))
+    said = parts & NAMES
+    return bool(parts) and parts <= NAMES | PARTIAL | JOINING and bool(said or (parts & PARTIAL and len(parts) > 1))
+
+
 def _describe(tag: str, attributes: str) -> tuple[str, bool]:
-    """The element's kind (tag and first class or id), and whether it is dropped."""
+    """The element's kind (tag and first class or id), and whether its tag, role or names say that it is no part of the article."""
     first, drop = "", tag in DROPPED
     for m in _ATTR.finditer(attributes):
         name, value = (m[1] or m[5] or "").lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -81,7 +107,7 @@ def _describe(tag: str, attributes: str) -> tuple[str, bool]:
             if value.split() and not first:
                 first = re.sub(r"\d+", "0", value.split()[0])
             if tag not in ("html", "body", "article", "main"):
-                drop = drop or not NAMES.isdisjoint(_PARTS.findall(value))
+                drop = drop or any(map(_names_junk, value.split()))
         elif name == "role":
             drop = drop or value in ROLES
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -151,7 +177,12 @@ def parse(page: str) -> Element:
             continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if tag in ("button", "select") and (block := _BLOCK.search(page, at, close.start() if close else n)):
+                at = block.start()  # never closed: it ends where a block begins
+            elif close:
+                at = close.end()
+            elif tag in ("script", "style", "title", "textarea"):
+                at = n
             if tag not in ("svg", "math", "canvas", "audio", "video", "button", "select", "script"):
                 flush()
             continue
@@ -179,11 +210,12 @@ def parse(page: str) -> Element:
         new = Element(tag, key, drop, above.depth + 1)
         if above.depth < DEPTH:
             above.kids.append(new)
-            stack.append(new)
-        else:
-            new.kids = above.kids
-            stack.append(new)
+        else:  # its text is the element's above; what is dropped stays dropped
             new.depth = above.depth
+            new.dropped |= above.dropped
+            if not new.dropped:
+                new.kids = above.kids
+        stack.append(new)
     flush()
     return root
 
@@ -204,28 +236,36 @@ def node_of(e: Element) -> list:
     return [e.key + ("!" if e.dropped else ""), 0, 1, 0, 0, 0, kids]
 
 
+def _lcs(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a longest common subsequence, by halving ``x`` (Hirschberg), with a row of the table at a time."""
+    if not len(x) or not len(y):
+        return []
+    if len(x) == 1:
+        at = np.flatnonzero(y == x[0])
+        return [(0, int(at[0]))] if len(at) else []
+
+    def last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        row = np.zeros(len(b) + 1, np.int32)
+        for k in a:
+            row[1:] = np.maximum(row[1:], row[:-1] + (b == k))
+            np.maximum.accumulate(row, out=row)
+        return row
+
+    half = len(x) // 2
+    cut = int((last_row(x[:half], y) + last_row(x[half:][::-1], y[::-1])[::-1]).argmax())
+    return _lcs(x[:half], y[:cut]) + [(half + i, cut + j) for i, j in _lcs(x[half:], y[cut:])]
+
+
 def align(a: list[list], b: list[list]) -> list[tuple[int, int]]:
     """Pairs of matching children, in order: a longest common subsequence of kinds."""
-    head = 0
+    head, tail = 0, 0
     while head < len(a) and head < len(b) and a[head][KIND] == b[head][KIND]:
         head += 1
-    x, y = a[head:], b[head:]
-    if not x or not y:
-        return [(i, i) for i in range(head)]
-    length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        for j in range(len(y) - 1, -1, -1):
-            length[i][j] = length[i + 1][j + 1] + 1 if x[i][KIND] == y[j][KIND] else max(length[i + 1][j], length[i][j + 1])
-    out, i, j = [(k, k) for k in range(head)], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i][KIND] == y[j][KIND]:
-            out.append((head + i, head + j))
-            i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return out
+    while tail < min(len(a), len(b)) - head and a[-1 - tail][KIND] == b[-1 - tail][KIND]:
+        tail += 1
+    number: dict[str, int] = {}
+    x, y = (np.array([number.setdefault(n[KIND], len(number)) for n in kids[head : len(kids) - tail]], np.int64) for kids in (a, b))
+    return [(i, i) for i in range(head)] + [(head + i, head + j) for i, j in _lcs(x, y)] + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
 
 
 def _optional(n: list) -> list:
@@ -260,79 +300,145 @@ def expression(n: list) -> str:
     return {0: body, 1: f"({body})?", 2: f"({body})+", 3: f"({body})*"}[n[FLAGS]]
 
 
-def _varying(n: list) -> int:
-    if n[KIND].endswith("!"):
-        return 0
-    if n[KIND] == "#":
-        same = n[TEXT] and n[PAGES] >= AGREE
-        return 0 if same else max(n[CHARS] - 2 * n[LINKS], 0)
-    return sum(map(_varying, n[KIDS]))
+class Judged:
+    """A wrapper's node and what its host's pages say of it."""
+
+    __slots__ = ("kind", "flags", "pages", "chars", "links", "same", "kids", "hint", "vary", "kept", "drop", "rank")
+
+    def __init__(self, n: list) -> None:
+        self.kind, self.flags, self.pages, self.chars, self.links = n[KIND], n[FLAGS], n[PAGES], n[CHARS], n[LINKS]
+        self.same = bool(n[TEXT]) and n[PAGES] >= AGREE
+        self.kids = [Judged(k) for k in n[KIDS]]
+        self.hint, self.drop, self.rank = self.kind.endswith("!"), False, None
+        if self.kind == "#":
+            self.vary = 0 if self.same else max(self.chars - 2 * self.links, 0)
+        else:
+            self.chars, self.links, self.vary = (sum(getattr(k, x) for k in self.kids) for x in ("chars", "links", "vary"))
+        self.count()
+
+    def count(self) -> None:
+        """``kept``: what varies outside elements whose names speak against them."""
+        self.kept = 0 if self.hint else self.vary if self.kind == "#" else sum(k.kept for k in self.kids)
+
+    @property
+    def tag(self) -> str:
+        return self.kind.rstrip("!").partition(".")[0]
+
+    def below(self) -> Iterator[Judged]:
+        """Elements below, without those of dropped ones."""
+        for k in self.kids:
+            if k.kind != "#":
+                yield k
+                if not k.hint:
+                    yield from k.below()
+
+    def trust(self, firm: frozenset[str]) -> None:
+        """Keeps what varies most in spite of its name, where names would drop nearly all; elements of ``firm`` tags are dropped still."""
+        if 10 * self.kept < self.vary:
+            named = [k for k in self.below() if k.hint and k.tag not in firm]
+            if named and 2 * (most := max(named, key=lambda k: k.vary)).vary >= self.vary:
+                most.hint = False
+                self.recount()
+
+    def recount(self) -> None:
+        for k in self.kids:
+            if k.kind != "#":
+                k.recount()
+        self.count()
+
+
+def _tops(n: Judged, tag: str) -> Iterator[Judged]:
+    for k in n.kids:
+        if k.kind != "#" and not k.hint:
+            if k.tag == tag:
+                yield k
+            else:
+                yield from _tops(k, tag)
+
+
+def judged(wrapper: list) -> Judged:
+    """The wrapper with its main elements ranked and, within them, what is dropped."""
+    root = Judged(wrapper)
+    mains = [*_tops(root, "article")] or [*_tops(root, "main")]
+    for rank, n in enumerate(sorted(mains, key=lambda n: -n.kept / n.pages)):
+        n.rank = rank
+        n.trust(frozenset({"form", "nav", "button", "select"}))
+    if not mains:
+        root.trust(frozenset(DROPPED) | {"header"})
+        main_of(root).rank = 0
+    for n in mains or [root]:
+        _judge(n, n, True)
+    return root
 
 
-def main_path(wrapper: list) -> list[str]:
-    """Kinds from the root to the deepest element with most of the varying text."""
-    path, now, total = [], wrapper, _varying(wrapper)
+def main_of(root: Judged) -> Judged:
+    """The deepest element with most of the varying text; one that has a heading of its own is not left."""
+    now, total = root, root.kept
     while total:
-        best = max((k for k in now[KIDS] if k[KIND] != "#"), key=_varying, default=None)
-        if best is None or _varying(best) < 0.6 * total or best[KIND].partition(".")[0] in PARAGRAPHS or best[FLAGS] & 2:
+        best = max((k for k in now.kids if k.kind != "#"), key=lambda k: k.kept, default=None)
+        if best is None or best.kept < 0.6 * total or best.tag in PARAGRAPHS or best.flags & 2 or any(k.tag in HEADINGS and k.kept for k in now.kids):
             break
-        path.append(best[KIND])
         now = best
-    return path
+    return now
 
 
-def extract(root: Element, wrapper: list | None) -> str:
-    """The blocks of the page's main element that the wrapper does not give to the host, joined by an empty line."""
-    found: list[tuple[Element, list | None]] = []
+def _judge(main: Judged, n: Judged, ends: bool) -> None:
+    """Marks what is dropped below ``n``; ``ends``: it is the main element, whose first and last children may be lists of links."""
+    for i, k in enumerate(n.kids):
+        at_end = ends and i in (0, len(n.kids) - 1)
+        if k.kind == "#":
+            paragraph = n.tag in HEADINGS or (n.tag in PARAGRAPHS and not (n.tag == "p" and n.drop))
+            k.drop = k.same and main.vary > 0 and not paragraph
+            continue
+        linked = at_end and k.tag not in HEADINGS and k.tag != "p" and k.chars and 5 * k.links >= 4 * k.chars
+        said_by_all = at_end and k.tag == "p" and not k.flags & 2 and main.vary > 0 and k.chars and not k.vary and not k.links
+        k.drop = k.hint or bool(linked) or bool(said_by_all)
+        if not k.hint:
+            _judge(main, k, False)
 
-    def kid_of(w: list | None, key: str, at: int) -> tuple[list | None, int]:
-        """The wrapper's child that a page's child matches, from ``at`` on or from the start again."""
-        kids = w[KIDS] if w else []
-        for i in [*range(at, len(kids)), *range(min(at, len(kids)))]:
-            if kids[i][KIND] == key:
-                return kids[i], i
-        return None, at
 
-    def search(e: Element, w: list | None, wanted: tuple[str, ...]) -> None:
-        at = 0
-        for k in e.kids:
-            if isinstance(k, tuple) or k.dropped:
-                continue
-            kid, at = kid_of(w, k.key, at)
-            if k.tag in wanted:
-                found.append((k, kid))
-            else:
-                search(k, kid, wanted)
+def extract(root: Element, wrapper: Judged | None) -> str:
+    """The blocks of the page that fall to kept slots of its main element, joined by an empty line; without a wrapper all blocks."""
 
-    for wanted in (("article",), ("main",)):
-        search(root, wrapper, wanted)
-        if found:
-            break
-    if not found:
-        e, w = root, wrapper
-        for key in main_path(wrapper) if wrapper else []:
-            nxt = next((k for k in e.kids if isinstance(k, Element) and k.key == key), None)
-            if nxt is None:
-                break
-            w, e = kid_of(w, key, 0)[0], nxt
-        found = [(e, w)]
-    blocks: list[str] = []
-
-    def take(e: Element, w: list | None, headings_only: bool) -> None:
-        at = 0
+    def matched(e: Element, w: Judged | None) -> Iterator[tuple[Element | tuple[str, int], Judged | None]]:
+        """The page's children with the wrapper's that they fall to: the next of the kind, or the first."""
+        kids, at = w.kids if w else [], 0
         for k in e.kids:
+            kind = "#" if isinstance(k, tuple) else k.key + ("!" if k.dropped else "")
+            i = next((i for i in [*range(at, len(kids)), *range(min(at, len(kids)))] if kids[i].kind == kind), None)
+            at = at if i is None else i
+            yield k, None if i is None else kids[i]
+
+    found: list[tuple[int, Element, Judged | None]] = []
+
+    def search(e: Element, w: Judged | None) -> None:
+        if w is not None and w.rank is not None:
+            found.append((w.rank, e, w))
+            return
+        for k, kid in matched(e, w):
+            if isinstance(k, Element) and not (kid and kid.hint):
+                search(k, kid)
+
+    search(root, wrapper)
+    best = min((r for r, _, _ in found), default=None)
+    mains = [(e, w) for r, e, w in found if r == best] if found else [(root, None)]
+
+    def take(e: Element, w: Judged | None, headings_only: bool, blocks: list[str]) -> None:
+        for k, kid in matched(e, w):
             if isinstance(k, tuple):
-                slot, at = kid_of(w, "#", at)
-                hosts_own = slot is not None and slot[TEXT] and slot[PAGES] >= AGREE and e.tag not in PARAGRAPHS
-                if not hosts_own and (not headings_only or e.tag in HEADINGS):
+                if not (kid and kid.drop) and (not headings_only or e.tag in HEADINGS):
                     blocks.append(k[0])
-            elif not k.dropped:
-                kid, at = kid_of(w, k.key, at)
-                take(k, kid, headings_only or k.tag == "header")
+            elif not (kid and kid.drop):
+                take(k, kid, headings_only or k.tag == "header", blocks)
 
-    for e, w in found:
-        take(e, w, False)
-    return "\n\n".join(blocks)
+    texts: list[list[str]] = []
+    for e, w in mains:
+        texts.append([])
+        take(e, w, False, texts[-1])
+    size = [sum(map(len, t)) for t in texts]
+    if len(texts) > 1 and 3 * max(size) >= 2 * sum(size):  # an article among teasers of its kind
+        texts = [texts[size.index(max(size))]]
+    return "\n\n".join(x for t in texts for x in t)
 
 
 def host_of(url: str | None) -> str:
@@ -340,36 +446,60 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _folded(rows: Iterator[tuple[str, list]], most: int = 512) -> Iterator[tuple[str, list]]:
-    """One wrapper per host, or more where a task sees very many hosts."""
-    held: dict[str, list] = {}
-    for host, wrapper in rows:
-        held[host] = merge(held[host], wrapper) if host in held else wrapper
-        if len(held) > most:
-            yield from held.items()
-            held = {}
-    yield from held.items()
+def structure_of(n: list) -> int:
+    """A hash of what the wrapper's expression is, whatever its texts."""
+    return int.from_bytes(hashlib.blake2b(expression(n).encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def _rows(items: Iterator[tuple[str, list]]) -> Iterator[pa.RecordBatch]:
-    got = [(h, json.dumps(w, separators=(",", ":"))) for h, w in items]
+def _rows(items: Iterator[tuple[str, int, list]]) -> Iterator[pa.RecordBatch]:
+    got = [(h, k, json.dumps(w, separators=(",", ":"))) for h, k, w in items]
     for i in range(0, len(got), 256):
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*got[i : i + 256])], ["host", "wrapper"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got[i : i + 256]), (pa.string(), pa.int64(), pa.string()))], ["host", "structure", "wrapper"])
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list]]:
+    """One wrapper per host, from rows sorted by (host, structure): equal structures are merged first, then structures are aligned in order."""
+    host, whole, key, part = None, None, 0, None
+    for b in batches:
+        for h, k, w in zip(*(b.column(i).to_pylist() for i in range(3))):
+            w = json.loads(w)
+            if h == host and k == key:
+                part = merge(part, w)
+                continue
+            if part is not None:
+                whole = part if whole is None else merge(whole, part)
+                if h != host:
+                    yield host, 0, whole
+                    whole = None
+            host, key, part = h, k, w
+    if part is not None:
+        yield host, 0, part if whole is None else merge(whole, part)
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", most: int = 512) -> DataFrame:
     """(host, wrapper): the wrapper that all pages of each host give, as JSON."""
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(_folded((host_of(u), node_of(parse(h or ""))) for b in batches for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        held: dict[tuple[str, int], list] = {}
+        for b in batches:
+            for u, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n = node_of(parse(h or ""))
+                at = host_of(u), structure_of(n)
+                held[at] = merge(held[at], n) if at in held else n
+                if len(held) > most:
+                    yield from _rows((*k, w) for k, w in held.items())
+                    held = {}
+        yield from _rows((*k, w) for k, w in held.items())
+
+    schema, salt = "host string, structure long, wrapper string", F.pmod("structure", F.lit(32))
 
-    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _rows(_folded(((h, json.loads(w)) for b in batches for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), 1 << 30))
+    def fold(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[pa.RecordBatch]:
+        yield from _rows((h.partition("\0")[2], int(h.partition("\0")[0]), w) for h, _, w in _ordered(batches)) if salted else _rows(_ordered(batches))
 
-    schema = "host string, wrapper string"
     got = pages.select(url_col, html_col).mapInArrow(first, schema)
-    got = got.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32))).repartition("host", "salt").sortWithinPartitions("host", "wrapper").select("host", "wrapper").mapInArrow(later, schema)
-    return got.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(later, schema)
+    parts = got.select(F.concat_ws("\0", salt.cast("string"), "host").alias("host"), "structure", "wrapper")
+    got = parts.repartition("host").sortWithinPartitions("host", "structure", "wrapper").mapInArrow(lambda b: fold(b, True), schema)
+    return got.repartition("host").sortWithinPartitions("host", "structure").mapInArrow(lambda b: fold(b, False), schema).drop("structure")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -383,11 +513,18 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         rows = rows.withColumn("host", host).join(known, "host", "left").select("page_id", "url", "html", "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, Judged] = {}
         for b in batches:
             urls, out = b.column(1).to_pylist(), []
             own = b.column(3).to_pylist() if sent is None else [None] * b.num_rows
             for u, h, w in zip(urls, b.column(2).to_pylist(), own):
-                out.append(extract(parse(h or ""), sent.get(host_of(u)) if sent is not None else json.loads(w) if w else None))
+                host = host_of(u)
+                if host not in known:
+                    if len(known) > 512:
+                        known.clear()
+                    w = json.loads(w) if w else (sent or {}).get(host)
+                    known[host] = judged(w) if w else None
+                out.append(extract(parse(h or ""), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
