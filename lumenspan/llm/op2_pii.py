@@ -7,18 +7,21 @@ term discloses is
 
     disclosure(t, c) = PMI(t; c) / IC(c) = log(p(t, c) / (p(t) p(c))) / -log p(c)
 
-with p over distinct contexts for c and documents for t (Sanchez and Batet's
-C-sanitisation).  A term in enough distinct contexts of c whose disclosure
-reaches ``remove_at`` is removed; one that reaches ``generalise_at`` is replaced
-by its kind: wherever it stands in the corpus, beside the value or in a document
-without it.  The spans of both are added to the base ones.
+where each p is a share of the corpus's documents (Sanchez and Batet's
+C-sanitisation).  A term in ``SUPPORT`` distinct contexts of c (copies of one
+context count as documents, but support nothing) whose disclosure reaches
+``remove_at`` is removed; one that reaches ``generalise_at`` is replaced by the
+class of words it belongs to (``general``): wherever it stands in the corpus,
+beside the value or in a document without it.  The spans of both are added to
+the base ones.
 
 Only terms with that support can disclose, so these are counted first; if there
 are few (a checked bound) their counts over the corpus come from one pass that
-knows them, else from a distributed count of all words.
+knows them, else from a distributed count of all words, and rows then look up
+the judgements of their own terms where they lie.
 
 Edge cases: a NULL text is empty and has no spans; repeated rows are each
-judged, and equal contexts count once; an empty table gives an empty result;
+judged, and equal contexts support once; an empty table gives an empty result;
 other columns pass through ``sanitise`` untouched, whatever their names.
 """
 
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, unused
+from .common import Rows, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, written so that no text takes quadratic time.  An e-mail
@@ -133,23 +136,23 @@ def _context(text: str, spans: list[tuple[str, int, int]]) -> tuple[int, list[st
 
 
 def entity_contexts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, context): each distinct context of each entity."""
+    """(entity, context, n): each distinct context of each entity and how many documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = set()
+            rows = []
             for t in b.column(0).to_pylist():
                 if spans := base_spans(t):
                     context, _ = _context(t, spans)
-                    rows.update((entity_key(k, t[s:e]), context) for k, s, e in spans)
+                    rows += {(entity_key(k, t[s:e]), context) for k, s, e in spans}
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["entity", "context"])
 
-    return _texts(df, text_col).mapInArrow(run, "entity long, context long").distinct()
+    return _texts(df, text_col).mapInArrow(run, "entity long, context long").groupBy("entity", "context").agg(F.count("*").alias("n"))
 
 
 def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int] | None = None) -> DataFrame:
-    """(entity, context, term): each distinct context of each entity (of ``entities``, if given), a row per term in it."""
+    """(entity, context, term, n): each distinct context of each entity (of ``entities``, if given), a row per term in it, and how many documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,16 +168,17 @@ def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int]
                         n = len(keys)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([entity] * n, [context] * n, keys)], ["entity", "context", "term"])
 
-    return _texts(df, text_col).mapInArrow(run, "entity long, context long, term long").distinct()
+    return _texts(df, text_col).mapInArrow(run, "entity long, context long, term long").groupBy("entity", "context", "term").agg(F.count("*").alias("n"))
 
 
 def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, share): terms with support and the share of the entity's information that each discloses."""
-    held = entity_contexts(df, text_col).groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
-    n_entity = staged(held, "entities")  # fewer contexts support no term
+    held = entity_contexts(df, text_col).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("support"))
+    n_entity = staged(held.where(F.col("support") >= SUPPORT).drop("support"), "entities")  # fewer contexts support no term
     n_entities = n_entity.count()
     entities = frozenset(r["entity"] for r in n_entity.collect()) if n_entities <= KNOWN_TERMS else None
-    pairs = cooccurrence(df, text_col, entities).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT) if n_entities else df.sparkSession.createDataFrame([], "entity long, term long, n_both long")
+    both = lambda: cooccurrence(df, text_col, entities).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
+    pairs = both().where(F.col("support") >= SUPPORT).drop("support") if n_entities else df.sparkSession.createDataFrame([], "entity long, term long, n_both long")
     pairs = staged(pairs, "supported-terms")
     candidates = pairs.select("term").distinct()
     n_candidates = candidates.count()
@@ -188,7 +192,8 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
         keys: dict[str, int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                for x in {term_of(w) for w in set(_WORD.findall(t))}:
+                spans = base_spans(t)
+                for x in {x[0] for x in free_terms(t, spans)} if spans else {term_of(w) for w in set(_WORD.findall(t))}:
                     if (k := keys.get(x)) is None:
                         if len(keys) > 200_000:
                             keys.clear()
@@ -251,10 +256,11 @@ def _with_judged(df: DataFrame, columns: list, judged: dict | DataFrame, text_co
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array([r] * len(keys), pa.int64()), pa.array(keys, pa.int64())], ["row_id", "term"])
 
-    rows = staged(rows.withColumn(row_id, F.monotonically_increasing_id()), "rows")
-    own = rows.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(terms, "row_id long, term long")
-    per_row = own.join(judged, "term").groupBy(F.col("row_id").alias(row_id)).agg(F.collect_list(F.struct("term", "gone")).alias(name))
-    return rows.join(per_row, row_id, "left").drop(row_id), None
+    at_rest = Rows(rows, row_id, "rows")
+    own = at_rest.df.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(terms, "row_id long, term long")
+    found = at_rest.dealt(own.join(judged, "term").select(F.col("row_id").alias(row_id), "term", "gone"))
+    per_row = found.groupBy(at_rest.bucket, row_id).agg(F.collect_list(F.struct("term", "gone")).alias(name))
+    return at_rest.join(per_row, "left").select(*rows.columns, name), None
 
 
 def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
@@ -279,14 +285,25 @@ def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
     return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
+def general(word: str) -> str:
+    """The class of words that a generalised term belongs to."""
+    core = term_of(word)
+    if core.isdigit():
+        return f"{len(core)}-DIGIT NUMBER"
+    if any(c.isdigit() for c in core):
+        return "CODE"
+    first = word.lstrip(".,;:!?()[]{}\"'<>|*#$%&")[:1]
+    return "NAME" if first.isupper() else "WORD"
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """``text`` with each span replaced by its kind, and removed terms by nothing; overlapping spans become one."""
+    """``text`` with each span replaced by its kind, removed terms by nothing, and hints by a more general word; overlapping spans become one."""
     out, at = [], 0
     for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
         if s < at:
             at = max(at, e)
             continue
-        out += [text[at:s], "" if kind == "term" else f"[{kind.upper()}]"]
+        out += [text[at:s], "" if kind == "term" else f"[{general(text[s:e]) if kind == 'hint' else kind.upper()}]"]
         at = e
     return "".join([*out, text[at:]])
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -57,6 +59,61 @@ def test_wrappers_generalise(spark):
     assert said == "<><ul>(<li>(#)+</>)+</>(<h2>#</>)?(<p>(#)+</>)+</>"
 
 
+def texts_of(*pages: str) -> list[str]:
+    """The texts of the pages of one host."""
+    nodes = [op1_html.node_of(op1_html.parse(p)) for p in pages]
+    wrapper = op1_html.judged(functools.reduce(op1_html.merge, nodes))
+    return [op1_html.extract(op1_html.parse(p), wrapper) for p in pages]
+
+
+def test_names_break_ties_only():
+    for name in ('class="social-science"', 'class="reply"', 'id="search-theory"'):
+        assert texts_of(f"<nav><a href=x>m</a></nav><article><h1>T</h1><div {name}><p>Article text</p></div></article><footer>f</footer>") == ["T\n\nArticle text"]
+        assert texts_of(f"<nav><a href=x>m</a></nav><div {name}><p>Article text</p></div><footer>f</footer>") == ["Article text"]
+    main = "<article><h1>A</h1><p>Main text that is long enough to be the main one, really.</p></article>"
+    for teaser in ("<article class=card><h2>Teaser</h2><p>short</p></article>", "<article><h2>Teaser</h2><p>short</p></article>"):
+        assert texts_of(main + teaser) == texts_of(main)
+    assert texts_of(main + "<section class=thread><div>user says hi</div></section>") == texts_of(main)
+
+
+def test_depth_and_open_elements():
+    for depth in (10, 60, 300):
+        assert texts_of("<div>" * depth + "<nav>MENU</nav><p>body</p>") == ["body"]
+    assert texts_of("<article><button>Share <p>one</p><p>two</p></article>") == ["one\n\ntwo"]
+    assert texts_of("<article><p>a</p><iframe src=x><p>one</p></article>") == ["a\n\none"]
+    assert texts_of("<article><select><option>a<p>one</p></article>") == ["one"]
+
+
+def test_wrapper_without_names():
+    """Nothing is named: what varies outside links is the text."""
+    page = "<div class=qa><ul><li><a href=/a>Menu</a></ul></div><div class=qb>Same on all pages of the host</div><div class=qc><h1>Title {0}</h1><p>Text {0} of the page</p><p>and more</p></div><div class=qd>(c) host</div>"
+    assert texts_of(*(page.format(f"{i} {'x' * i}") for i in range(5)))[3] == "Title 3 xxx\n\nText 3 xxx of the page\n\nand more"
+
+
+def test_wrappers_do_not_depend_on_order(spark):
+    kinds = ["<h1>t{0}</h1><p>x{0}</p>", "<h2>u{0}</h2><p>y</p><ul><li>1</ul>", "<p>z{0}</p><div class=k>w</div><p>v</p>", "<div class=m>q{0}</div>"]
+    rows = [("http://a.example/", kinds[i % 4].format(i)) for i in range(40)]
+    got = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "url string, html string").repartition(1 + 2 * seed)
+        got.add(tuple(r["wrapper"] for r in op1_html.wrappers(df, most=3).collect()))
+    assert len(got) == 1 and len(next(iter(got))) == 1
+
+
+def test_alignment_is_longest():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([[rng.choice("pqrs"), 0, 1, 0, 0, 0, []] for _ in range(rng.randrange(9))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i][0] == b[j][0] else max(table[i][j + 1], table[i + 1][j])
+        pairs = op1_html.align(a, b)
+        assert len(pairs) == table[-1][-1] and all(a[i][0] == b[j][0] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 def test_wrappers_joined_by_host(spark, monkeypatch):
     monkeypatch.setattr(op1_html, "SENT_BYTES", -1)
     test_extraction(spark)
@@ -123,6 +180,41 @@ def test_pii_beyond_the_bound(spark, monkeypatch):
     test_pii_report(spark)
 
 
+def test_pii_against_brute_force(spark):
+    """Every span of a table where the method fires, against counts of documents in plain Python."""
+    rng, said = random.Random(6), [f"w{i:03}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        words = rng.sample(said, 12)
+        if i % 6 == 0:
+            words += ["ann@mail.example", "Plover", "quay7"]
+        elif i % 6 == 1:
+            words += ["ann@mail.example"] + (["Plover"] if i % 12 == 1 else [])
+        elif i % 6 == 2:
+            words += ["10.1.2.3", "lantern"] + (["Plover"] if i == 2 else [])
+        elif i == 3:
+            words += ["lantern", "Plover"]
+        docs.append((i, " ".join(words)))
+    docs += [(60 + i, docs[0][1]) for i in range(3)]
+    terms = [{w.lower() for w in t.split() if len(w) > 2 and "@" not in w and w != "10.1.2.3"} for _, t in docs]
+    worst: dict[str, float] = collections.defaultdict(lambda: -math.inf)
+    for entity in ("ann@mail.example", "10.1.2.3"):
+        own = [i for i, (_, t) in enumerate(docs) if entity in t.split()]
+        for x in set().union(*(terms[i] for i in own)):
+            both = [i for i in own if x in terms[i]]
+            if len({frozenset(terms[i]) for i in both}) >= 3:
+                p = [n / len(docs) for n in (len(both), sum(x in t for t in terms), len(own))]
+                worst[x] = max(worst[x], math.log(p[0] / p[1] / p[2]) / -math.log(p[2]))
+    kinds = {x: "term" if v >= 0.95 else "hint" for x, v in worst.items() if v >= 0.8}
+    assert {"term", "hint"} <= set(kinds.values())
+    want = {}
+    for i, t in docs:
+        more = sorted((kinds[m[0].lower()], m.start(), m.end()) for m in WORDS.finditer(t) if m[0].lower() in kinds)
+        want[i] = ",".join(f"{k}:{s}:{e}" for k, s, e in brute_spans(t) + more)
+    assert {r["doc_id"]: r["spans"] for r in op2_pii.pii_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+    assert [op2_pii.general(w) for w in ("1234,", "a7", "Ann.", "quay")] == ["4-DIGIT NUMBER", "CODE", "NAME", "WORD"]
+
+
 # --- op3 ---
 
 
