@@ -10,8 +10,9 @@
    differ by at most t_i in some partition i.
 3. Each fingerprint is dealt to every value within t_i of its own in
    partition i.  Fingerprints that meet are verified by counting bits, and each
-   bucket returns a spanning forest: never all pairs.  A bucket beyond
-   ``BLOCK`` members is split into a grid of blocks, which loses no link.
+   bucket returns a spanning forest: never all pairs.  Buckets are counted
+   first, and one beyond ``BLOCK`` members is dealt in pairs of blocks to as
+   many tasks, which loses no link.
 4. Components of the forest edges.
 
 Edge cases: NULL and empty texts have fingerprint zero, linked like any other;
@@ -229,6 +230,20 @@ def forest(members: np.ndarray, tau: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def in_blocks(rows: DataFrame, key: str, node: str, sizes: DataFrame, most: int) -> DataFrame:
+    """``rows`` with ``key`` split where its ``size`` (of ``sizes``: key, size) is beyond ``most``.
+
+    The rows of such a key go to blocks by a hash of ``node``, and every pair of
+    blocks becomes a key of its own: all rows of the key still meet each other.
+    """
+    large = staged(sizes.where(F.col("size") > most).select(key, F.ceil(F.col("size") / most).alias("blocks")), "large")
+    own, blocks = F.pmod(F.xxhash64(node), F.col("blocks")), F.col("blocks")
+    others = F.when(blocks.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda i: i != own))
+    pair = F.xxhash64(key, F.least(own, "other"), F.greatest(own, "other"))
+    dealt = rows.join(large, key, "left").withColumn("other", F.explode(others))
+    return dealt.select(F.when(blocks.isNull(), F.col(key)).otherwise(pair).alias(key), *[c for c in rows.columns if c != key])
+
+
 def links(fps: DataFrame, tau: int = 4) -> DataFrame:
     """(a, b): edges between distinct fingerprints that connect all that are linked by steps of ``tau`` bits or fewer.
 
@@ -248,13 +263,7 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
         key, held = None, []
 
         def edges(fp: np.ndarray) -> pa.RecordBatch:
-            a, b = [], []
-            blocks = [fp[i : i + BLOCK] for i in range(0, len(fp), BLOCK)]
-            for i, x in enumerate(blocks):
-                for y in blocks[i + 1 :] or [x[:0]]:
-                    p, q = forest(np.concatenate([x, y]), tau)
-                    a += p
-                    b += q
+            a, b = forest(fp, tau)
             return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.uint64).view(np.int64)), pa.array(np.array(b, np.uint64).view(np.int64))], ["a", "b"])
 
         def pairs(fp: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
@@ -286,6 +295,7 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
 
     dealt = fps.select("fp").mapInArrow(deal, "k long, fp long")
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = in_blocks(dealt, "k", "fp", dealt.groupBy("k").agg(F.count("*").alias("size")), BLOCK)
     return dealt.repartition(n, "k").sortWithinPartitions("k", "fp").mapInArrow(meet, "a long, b long")
 
 
@@ -522,7 +532,9 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.select("text").mapInArrow(prefixes, "h long, whole long")
     met = dealt.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(meet, "bucket long, whole long").distinct()
-    members = staged(met, "buckets").join(nodes, "whole").select("bucket", "node", "n", *columns)
+    met = staged(met, "buckets")
+    members = met.join(nodes, "whole").select("bucket", "node", "n", *columns)
+    members = in_blocks(members, "bucket", "node", met.groupBy("bucket").agg(F.count("*").alias("size")), BLOCK)
     return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a long, b long").distinct()
 
 
@@ -559,7 +571,7 @@ def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.
             return pa.RecordBatch.from_arrays([pa.array([node[i] for i in x], pa.int64()) for x in (a, b)], ["a", "b"])
 
         for batch in batches:
-            for *k, i, s in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4)):
+            for k, i, s in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2)):
                 if k != key and node:
                     yield found()
                     node, said = [], []
@@ -576,12 +588,10 @@ def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.
     loose = staged(connected_components(loose_pairs(rows, nodes, common, similarity, shingle)), "loose-groups")
     said = of_rows.join(loose.select(F.col("node").alias(of_rows.key)), "left_semi", text_col).select(F.col(of_rows.key), F.col(text_col).cast("binary"))
     sets = staged(said.mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
-    blocks = sets.groupBy("root").agg(F.ceil(F.sum("n") / SHINGLES).alias("blocks")).where("blocks > 1")
-    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).alias("own")
-    others = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1), lambda i: (i != F.col("own")) | F.col("blocks").isNull())).alias("other")
-    dealt = sets.join(blocks, "root", "left").select("root", "node", "said", "blocks", own).select("root", F.col("own"), "node", "said", others).select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "node", "said")
+    sizes = sets.groupBy("root").agg(F.sum("n").alias("size"))
+    dealt = in_blocks(sets.select("root", "node", "said"), "root", "node", sizes, SHINGLES)
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(parts, "root", "p", "q").sortWithinPartitions("root", "p", "q", "node").mapInArrow(alike, "a long, b long")
+    edges = dealt.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(alike, "a long, b long")
     roots = connected_components(edges)
     of = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("group"))
     return docs.select("key", "whole").join(of, "whole").select("key", "group")
