@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,6 +124,25 @@ class Rows:
         return own.join(few.hint("shuffle_hash"), [self.bucket, self.key], how).drop(self.bucket)
 
 
+#: Bytes of rows that Spark hands to Python at once; its own bound (64 MB) is held several times over, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in bounded memory: small batches, and at a task's end the worker gives freed memory back to the system."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(key).rstrip("bB")) == 64 << 20:  # nobody has set it
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(tidied, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

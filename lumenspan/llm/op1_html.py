@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_arrow, staged
 
 #: Elements within each other that are told apart.
 DEPTH = 200
@@ -496,10 +496,10 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", mos
     def fold(batches: Iterator[pa.RecordBatch], salted: bool) -> Iterator[pa.RecordBatch]:
         yield from _rows((h.partition("\0")[2], int(h.partition("\0")[0]), w) for h, _, w in _ordered(batches)) if salted else _rows(_ordered(batches))
 
-    got = pages.select(url_col, html_col).mapInArrow(first, schema)
+    got = pages.select(url_col, html_col).transform(in_arrow, first, schema)
     parts = got.select(F.concat_ws("\0", salt.cast("string"), "host").alias("host"), "structure", "wrapper")
-    got = parts.repartition("host").sortWithinPartitions("host", "structure", "wrapper").mapInArrow(lambda b: fold(b, True), schema)
-    return got.repartition("host").sortWithinPartitions("host", "structure").mapInArrow(lambda b: fold(b, False), schema).drop("structure")
+    got = parts.repartition("host").sortWithinPartitions("host", "structure", "wrapper").transform(in_arrow, lambda b: fold(b, True), schema)
+    return got.repartition("host").sortWithinPartitions("host", "structure").transform(in_arrow, lambda b: fold(b, False), schema).drop("structure")
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -527,4 +527,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 out.append(extract(parse(h or ""), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.transform(in_arrow, run, "page_id long, url string, text string, n_chars long")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, staged, unused
+from .common import Rows, in_arrow, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, written so that no text takes quadratic time.  An e-mail
@@ -148,7 +148,7 @@ def entity_contexts(df: DataFrame, text_col: str = "text") -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["entity", "context"])
 
-    return _texts(df, text_col).mapInArrow(run, "entity long, context long").groupBy("entity", "context").agg(F.count("*").alias("n"))
+    return _texts(df, text_col).transform(in_arrow, run, "entity long, context long").groupBy("entity", "context").agg(F.count("*").alias("n"))
 
 
 def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int] | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int]
                         n = len(keys)
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in ([entity] * n, [context] * n, keys)], ["entity", "context", "term"])
 
-    return _texts(df, text_col).mapInArrow(run, "entity long, context long, term long").groupBy("entity", "context", "term").agg(F.count("*").alias("n"))
+    return _texts(df, text_col).transform(in_arrow, run, "entity long, context long, term long").groupBy("entity", "context", "term").agg(F.count("*").alias("n"))
 
 
 def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -206,7 +206,7 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
 
-    n_term = _texts(df, text_col).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    n_term = _texts(df, text_col).transform(in_arrow, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     n_docs = df.count()
     log = lambda x: F.log(x.cast("double") / n_docs)
     both, term, entity = F.col("n_both"), F.greatest("n_term", "n_both"), F.col("n_entity")
@@ -257,7 +257,7 @@ def _with_judged(df: DataFrame, columns: list, judged: dict | DataFrame, text_co
                     yield pa.RecordBatch.from_arrays([pa.array([r] * len(keys), pa.int64()), pa.array(keys, pa.int64())], ["row_id", "term"])
 
     at_rest = Rows(rows, row_id, "rows")
-    own = at_rest.df.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).mapInArrow(terms, "row_id long, term long")
+    own = at_rest.df.select(row_id, F.coalesce(F.col(text_col), F.lit(""))).transform(in_arrow, terms, "row_id long, term long")
     found = at_rest.dealt(own.join(judged, "term").select(F.col("row_id").alias(row_id), "term", "gone"))
     per_row = found.groupBy(at_rest.bucket, row_id).agg(F.collect_list(F.struct("term", "gone")).alias(name))
     return at_rest.join(per_row, "left").select(*rows.columns, name), None
@@ -282,7 +282,7 @@ def pii_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ge
                 kinds = [pa.int64()] * 5 + [pa.string()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.transform(in_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def general(word: str) -> str:
@@ -329,4 +329,4 @@ def sanitise(df: DataFrame, text_col: str = "text", generalise_at: float = 0.8,
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=list(b.schema.names[:-1]))
 
-    return rows.mapInArrow(run, schema)
+    return rows.transform(in_arrow, run, schema)

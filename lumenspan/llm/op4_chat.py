@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 OPEN, END = "<|turn|>", "<|end|>"
 CONTROL = re.compile(r"<\||<<\/?SYS>>|<\/?s>|\[\/?INST\]|<(?:start|end)_of_turn>|<\/?(?:bos|eos|pad|unk)>")
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -117,7 +119,7 @@ def chat_examples(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role
         rows = ((c, i, e.text, e.loss_start, e.loss_end) for c, turns in _conversations(batches) for i, e in enumerate(expand(turns)))
         yield from _batches(rows, ["conv_id", "example", "text", "loss_start", "loss_end"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
 
-    return _sorted(df, conv, turn, role, text).mapInArrow(run, "conv_id long, example long, text string, loss_start long, loss_end long")
+    return _sorted(df, conv, turn, role, text).transform(in_arrow, run, "conv_id long, example long, text string, loss_start long, loss_end long")
 
 
 def digest(examples: list[Example]) -> tuple[int, str, int, str, int]:
@@ -140,4 +142,4 @@ def chat_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         rows = ((c, *digest(expand(turns))) for c, turns in _conversations(batches))
         yield from _batches(rows, ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()])
 
-    return _sorted(df, conv, turn, role, text).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return _sorted(df, conv, turn, role, text).transform(in_arrow, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 Q = 12
 #: Bytes of benchmark items in a block, and of documents that are searched at once.
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
@@ -192,7 +194,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
                     if got:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names)
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.transform(in_arrow, run, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else rows.where("false").selectExpr(*(f"CAST(NULL AS LONG) AS {c}" for c in names))
 
@@ -220,5 +222,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 elif clean.any():
                     yield b.filter(pa.array(clean))
 
-        kept = kept.mapInArrow(run, schema)
+        kept = kept.transform(in_arrow, run, schema)
     return kept

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, staged
+from .common import Rows, in_arrow, staged
 from .components import connected_components
 from .repeats import Powers, Prefix, _mix
 
@@ -106,7 +106,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 fp = majorities(np.concatenate(h), np.array([len(x) for x in h]))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).transform(in_arrow, run, "doc_id long, fp long")
 
 
 def bit_counts(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
@@ -124,7 +124,7 @@ def bit_counts(fps: DataFrame, columns: list[str]) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n, *total.astype(np.int64).ravel().tolist()]), pa.array(range(bits_of**2 + 1), pa.int32())], ["c", "i"])
 
-    got = fps.select(*columns).mapInArrow(run, "c long, i int").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    got = fps.select(*columns).transform(in_arrow, run, "c long, i int").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
     counts = np.zeros(bits_of**2 + 1)
     counts[got.column("i").to_numpy()] = got.column("c").to_numpy()
     return int(counts[0]), counts[1:].reshape(bits_of, bits_of)
@@ -293,10 +293,10 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
         if sum(map(len, held)) > 1:
             yield edges(np.concatenate(held))
 
-    dealt = fps.select("fp").mapInArrow(deal, "k long, fp long")
+    dealt = fps.select("fp").transform(in_arrow, deal, "k long, fp long")
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = in_blocks(dealt, "k", "fp", dealt.groupBy("k").agg(F.count("*").alias("size")), BLOCK)
-    return dealt.repartition(n, "k").sortWithinPartitions("k", "fp").mapInArrow(meet, "a long, b long")
+    return dealt.repartition(n, "k").sortWithinPartitions("k", "fp").transform(in_arrow, meet, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
@@ -465,7 +465,7 @@ def common_shingles(texts: DataFrame, n: int, shingle: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.unique(_shingles(k, shingle)) for k in _word_keys(said, powers)]).view(np.int64))], ["h"])
 
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(max(n // SAMPLE, 1))) == 0).select("text").distinct() if n > SAMPLE else texts.select("text").distinct()
-    got = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(1_000_000).select("h").toArrow()
+    got = some.transform(in_arrow, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(1_000_000).select("h").toArrow()
     return np.sort(got.column("h").to_numpy().view(np.uint64))
 
 
@@ -530,12 +530,12 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.select("text").mapInArrow(prefixes, "h long, whole long")
-    met = dealt.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(meet, "bucket long, whole long").distinct()
+    dealt = texts.select("text").transform(in_arrow, prefixes, "h long, whole long")
+    met = dealt.repartition(parts, "h").sortWithinPartitions("h").transform(in_arrow, meet, "bucket long, whole long").distinct()
     met = staged(met, "buckets")
     members = met.join(nodes, "whole").select("bucket", "node", "n", *columns)
     members = in_blocks(members, "bucket", "node", met.groupBy("bucket").agg(F.count("*").alias("size")), BLOCK)
-    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a long, b long").distinct()
+    return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").transform(in_arrow, link, "a long, b long").distinct()
 
 
 def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -582,16 +582,16 @@ def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.
             yield found()
 
     rows = of_rows.df.select(F.col(of_rows.key).alias("key"), F.col(text_col).cast("binary").alias("text"))
-    docs = staged(rows.mapInArrow(read, "key long, whole long, n long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
+    docs = staged(rows.transform(in_arrow, read, "key long, whole long, n long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
     nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in ("n", *columns)]), "distinct-texts")
     common = common_shingles(rows, nodes.count(), shingle)
     loose = staged(connected_components(loose_pairs(rows, nodes, common, similarity, shingle)), "loose-groups")
     said = of_rows.join(loose.select(F.col("node").alias(of_rows.key)), "left_semi", text_col).select(F.col(of_rows.key), F.col(text_col).cast("binary"))
-    sets = staged(said.mapInArrow(shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
+    sets = staged(said.transform(in_arrow, shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
     sizes = sets.groupBy("root").agg(F.sum("n").alias("size"))
     dealt = in_blocks(sets.select("root", "node", "said"), "root", "node", sizes, SHINGLES)
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.repartition(parts, "root").sortWithinPartitions("root", "node").mapInArrow(alike, "a long, b long")
+    edges = dealt.repartition(parts, "root").sortWithinPartitions("root", "node").transform(in_arrow, alike, "a long, b long")
     roots = connected_components(edges)
     of = nodes.join(roots, "node", "left").select("whole", F.coalesce("root", "node").alias("group"))
     return docs.select("key", "whole").join(of, "whole").select("key", "group")

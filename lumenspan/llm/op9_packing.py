@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import in_arrow, staged
 from .repeats import Powers, Prefix
 
 #: Words that a worker remembers the ids of, over all its tasks: about 35 bytes each.
 REMEMBERED = 1 << 20
+#: New words that are encoded as one text.
+LEARNED = 1 << 14
 #: Bytes of a worker's first texts, and texts of all habits, on which encoding by words is held against encoding whole texts.
 CHECKED = 1 << 16
 PROBES = ["The cat, it's here.  A.B,c. 3.14, 1,000.\tEnd\n\nNew", "Ünïcode “quoted”, straße. Don't x, y.. z,, .a ,b I'LL o'Neil's,", "a_b-c <|endoftext|> <|EndOfText|> <b>Bold.</b> e\u0301t\u00a0nbsp 中文，混合. ΣΑΣ. İx"]
@@ -125,7 +127,9 @@ class WordIds:
         new = np.flatnonzero(place == len(self.keys)) if not len(self.keys) else np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] != distinct)
         if len(new):
             body = text.tobytes()
-            self._learn(distinct[new], [body[a:b] for a, b in zip(first[at[new]].tolist(), core[at[new]].tolist())])
+            for i in range(0, len(new), LEARNED):
+                some = new[i : i + LEARNED]
+                self._learn(distinct[some], [body[a:b] for a, b in zip(first[at[some]].tolist(), core[at[some]].tolist())])
             place = np.searchsorted(self.keys, distinct)
         which = place[word]
         size = self.sizes[which].astype(np.int64)
@@ -274,7 +278,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.array(near, pa.int64()), pa.array([i.astype(kind).tobytes() for i in ids], pa.binary())], ["doc_id", "near", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return staged(rows.mapInArrow(run, "doc_id long, near long, ids binary"), "ids")
+    return staged(rows.transform(in_arrow, run, "doc_id long, near long, ids binary"), "ids")
 
 
 def _kind(vocabulary: int) -> str:
@@ -306,7 +310,7 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.withColumn("near", F.xxhash64("near"))  # else long texts, whose minima are small, would meet in the first ranges
     docs = docs.repartitionByRange(n, "near", "doc_id").sortWithinPartitions("near", "doc_id")
-    return docs.select("doc_id", "ids").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "ids").transform(in_arrow, run, ", ".join(f"{c} long" for c in names))
 
 
 def shards(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[list, list[np.ndarray]]]:

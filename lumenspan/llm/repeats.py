@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, staged
+from .common import Rows, in_arrow, staged
 
 _B = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -178,7 +178,7 @@ def stage_documents(df: DataFrame, id_col: str, text_col: str, shape: Shape, sym
                 yield made(*rows)
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return Rows(rows.mapInArrow(run, "doc_id long, z binary, hashes binary, classes binary, places binary"), "uid", "documents")
+    return Rows(rows.transform(in_arrow, run, "doc_id long, z binary, hashes binary, classes binary, places binary"), "uid", "documents")
 
 
 def repeated_hashes(docs: DataFrame) -> DataFrame:
@@ -189,7 +189,7 @@ def repeated_hashes(docs: DataFrame) -> DataFrame:
             for i in range(0, b.num_rows, 500):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(b.column(0)[i : i + 500].to_pylist()), np.int64))], ["hash"])
 
-    return docs.select("hashes").mapInArrow(run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    return docs.select("hashes").transform(in_arrow, run, "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
 
 
 def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def occurrences_of(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                 uid, at = np.repeat(part.column(0).to_numpy(), [len(x) // 8 for x in part.column(1).to_pylist()]), at.reshape(-1, 3)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (h, c, uid, at[:, 0].astype(np.int64), at[:, 1], at[:, 2])], names)
 
-    rows = docs.select("uid", "hashes", "classes", "places").mapInArrow(run, "hash long, class long, uid long, place long, left int, right int")
+    rows = docs.select("uid", "hashes", "classes", "places").transform(in_arrow, run, "hash long, class long, uid long, place long, left int, right int")
     return rows.join(repeated, "hash", "left_semi")
 
 
@@ -240,7 +240,7 @@ def class_texts(classes: DataFrame, docs: Rows, shape: Shape, cut: Callable) ->
                 yield _class_rows(rows)
 
     joined = docs.join(wanted, "inner", "z").select("uid", "z", "of")
-    return joined.mapInArrow(run, "hash long, salt long, class long, n long, uid long, start long, text binary")
+    return joined.transform(in_arrow, run, "hash long, salt long, class long, n long, uid long, start long, text binary")
 
 
 def _class_rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -350,7 +350,7 @@ def split_groups(runs_of: DataFrame) -> DataFrame:
         if held:
             yield merged()
 
-    return runs_of.repartition("hash", "range").sortWithinPartitions("hash", "range").mapInArrow(run, "hash long, class long, start long, end long")
+    return runs_of.repartition("hash", "range").sortWithinPartitions("hash", "range").transform(in_arrow, run, "hash long, class long, start long, end long")
 
 
 def sorted_runs(s: Shard, owner: np.ndarray, start: np.ndarray, key: np.ndarray, length: int) -> list[tuple]:
@@ -390,7 +390,7 @@ def repeated_intervals(docs: Rows, shape: Shape, cut: Callable, match: Callable[
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 20_000]), kinds)], names)
 
     texts = class_texts(classes.where("classes > 1"), docs, shape, cut).repartition("hash", "salt").sortWithinPartitions("hash", "salt")
-    matched = staged(texts.mapInArrow(run, "hash long, class long, start long, end long, range long, keys binary, classes binary, starts binary, places binary, width long"), "matches")
+    matched = staged(texts.transform(in_arrow, run, "hash long, class long, start long, end long, range long, keys binary, classes binary, starts binary, places binary, width long"), "matches")
     found = matched.where("range IS NULL").select("hash", "class", "start", "end")
     found = found.union(split_groups(matched.where("range IS NOT NULL").select("hash", "range", "keys", "classes", "starts", "places", "width")))
     found = found.union(alone)
@@ -426,4 +426,4 @@ def apply_spans(docs: Rows, spans: DataFrame, remove: Callable[[bytes, list[tupl
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return docs.join(spans, "left", "doc_id", "z").select("doc_id", "z", "spans").mapInArrow(run, f"doc_id long, {schema}")
+    return docs.join(spans, "left", "doc_id", "z").select("doc_id", "z", "spans").transform(in_arrow, run, f"doc_id long, {schema}")
