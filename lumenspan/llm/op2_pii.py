@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, in_arrow, staged, unused
+from .common import SPACES, Rows, in_arrow, staged, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, written so that no text takes quadratic time.  An e-mail
@@ -111,19 +110,27 @@ def entity_key(kind: str, value: str) -> int:
     return term_key(f"{kind}:{plain}")
 
 
-def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """The terms of ``text`` outside ``spans``, with their places."""
-    taken: list[list[int]] = []  # the spans' union
-    for _, s, e in sorted(spans, key=lambda x: x[1]):
-        if taken and s <= taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], e)
-        else:
-            taken.append([s, e])
-    ends = [x[1] for x in taken]
-    for m in _WORD.finditer(text):
-        t, i = term_of(m[0]), bisect_right(ends, m.start())
-        if len(t) > 2 and (i == len(taken) or taken[i][0] >= m.end()):
-            yield t, m.start(), m.end()
+def outside(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """``text`` with spaces for the words that ``spans`` touch."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for _, s, e in sorted(spans, key=lambda x: x[1:]):
+        if e <= at:
+            continue
+        s = max(s, at)
+        while s > at and text[s - 1] not in SPACES:
+            s -= 1
+        while e < len(text) and text[e] not in SPACES:
+            e += 1
+        out += [text[at:s], " " * (e - s)]
+        at = e
+    return "".join([*out, text[at:]])
+
+
+def terms_of(text: str) -> set[str]:
+    """The distinct terms of a text: of three characters or more."""
+    return {t for w in set(_WORD.findall(text)) if len(t := term_of(w)) > 2}
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
@@ -131,7 +138,7 @@ def _texts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def _context(text: str, spans: list[tuple[str, int, int]]) -> tuple[int, list[str]]:
-    terms = sorted({x[0] for x in free_terms(text, spans)})
+    terms = sorted(terms_of(outside(text, spans)))
     return term_key("\0".join(terms)), terms
 
 
@@ -192,8 +199,7 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
         keys: dict[str, int] = {}
         for b in batches:
             for t in b.column(0).to_pylist():
-                spans = base_spans(t)
-                for x in {x[0] for x in free_terms(t, spans)} if spans else {term_of(w) for w in set(_WORD.findall(t))}:
+                for x in terms_of(outside(t, base_spans(t))):
                     if (k := keys.get(x)) is None:
                         if len(keys) > 200_000:
                             keys.clear()
@@ -232,14 +238,14 @@ def term_spans(text: str, spans: list[tuple[str, int, int]], judged: dict[int, b
         return []
     if len(words) > 200_000:
         words.clear()
-    any_found = False
+    any_found, text = False, outside(text, spans)
     for w in set(_WORD.findall(text)):
         if w not in words:
             words[w] = judged.get(term_key(t)) if len(t := term_of(w)) > 2 else None
         any_found |= words[w] is not None
     if not any_found:
         return []
-    return sorted(("term" if words[text[a:b]] else "hint", a, b) for _, a, b in free_terms(text, spans) if words[text[a:b]] is not None)
+    return sorted(("term" if gone else "hint", *m.span()) for m in _WORD.finditer(text) if (gone := words[m[0]]) is not None)
 
 
 def _with_judged(df: DataFrame, columns: list, judged: dict | DataFrame, text_col: str) -> tuple[DataFrame, dict | None]:
@@ -252,7 +258,7 @@ def _with_judged(df: DataFrame, columns: list, judged: dict | DataFrame, text_co
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                keys = [term_key(x) for x in {term_of(w) for w in set(_WORD.findall(t))} if len(x) > 2]
+                keys = [term_key(x) for x in terms_of(t)]
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array([r] * len(keys), pa.int64()), pa.array(keys, pa.int64())], ["row_id", "term"])
 

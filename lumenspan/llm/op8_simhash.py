@@ -316,7 +316,7 @@ WIDE, WIDE_MOST = 3, 64
 #: About as many texts are sampled for common shingles; a shingle in ``COMMON`` of them or more is common.
 SAMPLE, COMMON = 10_000, 5
 #: Shingles of a loose group that are searched as one block; a larger group is dealt in pairs of blocks, which loses no pair.
-SHINGLES = 1 << 21
+SHINGLES = 1 << 20
 
 _BYTES = np.random.default_rng(8).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -363,7 +363,7 @@ def whole_hash(keys: np.ndarray) -> int:
     return int(_mix(_mix(keys + at).sum(keepdims=True, dtype=np.uint64))[0])
 
 
-def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def _text_slices(b: pa.RecordBatch, column: int, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     at = 0
     while at < b.num_rows:
         texts, size, start = [], 0, at
@@ -503,7 +503,7 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
             bucket = int(_mix(_mix(whole.view(np.uint64)).sum(keepdims=True, dtype=np.uint64)).view(np.int64)[0])
             if bucket in seen:
                 continue
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             seen.add(bucket)
             out.append((bucket, whole))
