@@ -114,13 +114,18 @@ def has_words(text: Column, query: str) -> Column:
     return F.coalesce(near & exact, F.lit(False))
 
 
-def searchable_text(attributes: Column, events: Column) -> Column:
-    """All strings that search looks at: attribute values (of payload references the preview only), event names and event attributes."""
+def strings(v: Column) -> Column:
+    """The strings within a JSON text at any depth, still quoted, without object keys and without what ``$payload`` keys hold.
+
+    Escapes become spaces: what they stand for is no part of a word.  Then a
+    literal runs from quote to quote, and one before a colon is a key.
+    """
+    plain = F.regexp_replace(F.regexp_replace(v, r"\\(u[0-9a-fA-F]{4}|.)", " "), r'"\$payload":"[^"]*"', "")
+    return F.filter(F.regexp_extract_all(plain, F.lit('"[^"]*":?'), F.lit(0)), lambda x: ~x.endswith('":'))
 
-    def said(v: Column) -> Column:
-        offloaded = F.get_json_object(v, "$.preview")
-        return F.when(v.startswith('{"$payload"') | v.contains('"$payload":'), F.coalesce(offloaded, F.lit(""))).otherwise(v)
 
-    own = F.transform(F.map_values(attributes), said)
-    of_events = F.flatten(F.transform(events, lambda e: F.concat(F.array(e["name"]), F.transform(F.map_values(e["attributes"]), said))))
-    return F.concat_ws("\n", own, F.coalesce(of_events, F.array().cast("array<string>")))
+def searchable_text(attributes: Column, events: Column) -> Column:
+    """All strings that search looks at: within attribute values (of payload references the preview), event names, and within event attributes."""
+    all_of = lambda m: F.flatten(F.transform(F.map_values(m), strings))
+    of_events = F.flatten(F.transform(events, lambda e: F.concat(F.array(F.coalesce(e["name"], F.lit(""))), all_of(e["attributes"]))))
+    return F.concat_ws("\n", all_of(attributes), F.coalesce(of_events, F.array().cast("array<string>")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,18 +44,26 @@ def session_key(attributes: Column | str) -> Column:
 
 
 def with_facts(spans: DataFrame, attributes: str = "attributes") -> DataFrame:
-    """``spans`` with the facts as typed columns, so that no query reads attributes again."""
-    model, provider = first_text(attributes, *MODEL), first_text(attributes, *PROVIDER)
-    prompt, completion, total = first_long(attributes, *PROMPT), first_long(attributes, *COMPLETION), first_long(attributes, *TOTAL)
+    """``spans`` with the facts as typed columns, so that no query reads attributes again.
+
+    The facts are made by generators of one row, which the optimizer doesn't
+    inline: each attribute is read once, also for what follows from it, and no
+    generated method grows too large to be compiled.
+    """
     keyed = F.lit(False)
     for k in CALL_KEYS:
         keyed = keyed | value(attributes, k).isNotNull()
     called = scalar_text(value(attributes, "traceloop.span.kind")) == "llm"
-    is_llm = model.isNotNull() | provider.isNotNull() | prompt.isNotNull() | completion.isNotNull() | total.isNotNull() | keyed | F.coalesce(called, F.lit(False))
-    return spans.select(
-        "*", model.alias("model"), provider.alias("provider"), first_text(attributes, *SESSION).alias("session_id"), session_key(attributes).alias("session_key"), prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), total.alias("explicit_total"),
-        first_double(attributes, *COST).alias("cost_metered"), first_long(attributes, *CACHE_READ).alias("cache_read"), first_long(attributes, *CACHE_CREATION).alias("cache_creation"), is_llm.alias("is_llm"), first_text(attributes, *OUTCOME).alias("declared_outcome"), first_text(attributes, *GOAL).alias("goal"),
-    )
+    read = {
+        "model": first_text(attributes, *MODEL), "provider": first_text(attributes, *PROVIDER), "session_id": first_text(attributes, *SESSION), "session_key": session_key(attributes), "prompt_tokens": first_long(attributes, *PROMPT), "completion_tokens": first_long(attributes, *COMPLETION),
+        "explicit_total": first_long(attributes, *TOTAL), "cost_metered": first_double(attributes, *COST), "cache_read": first_long(attributes, *CACHE_READ), "cache_creation": first_long(attributes, *CACHE_CREATION), "is_llm": keyed | F.coalesce(called, F.lit(False)),
+        "declared_outcome": first_text(attributes, *OUTCOME), "goal": first_text(attributes, *GOAL),
+    }
+    out, names = spans, list(read)
+    for at in range(0, len(names), 2):
+        out = out.select("*", F.inline(F.array(F.struct(*[read[k].alias(k) for k in names[at : at + 2]]))))
+    shows = [F.col(c).isNotNull() for c in ("model", "provider", "prompt_tokens", "completion_tokens", "explicit_total")]
+    return out.withColumn("is_llm", functools.reduce(lambda x, y: x | y, shows, F.col("is_llm")))
 
 
 def total_tokens() -> Column:

@@ -32,16 +32,16 @@ def expire_annotations(rows: DataFrame, now_ns: int, ttl_ns: int) -> DataFrame:
     return rows.where(F.col("experiment_id").isNotNull() | ~expired(now_ns, ttl_ns, at="timestamp_ns"))
 
 
-def _hits(rows: DataFrame, subjects: DataFrame, on: list[str], kind: str) -> DataFrame:
-    return subjects.where(F.col("kind") == kind).select(*on).distinct()
+#: The columns by which each kind of subject is known.
+SUBJECT = {"tenant": ["tenant"], "trace": ["tenant", "trace_id"], "span": KEY, "session": ["tenant", "session_id"], "payload": ["ref"]}
 
 
-def unmasked(spans: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Spans that no subject (kind, tenant, trace_id, span_id, session_id) of an erasure covers."""
-    for kind, on in (("tenant", ["tenant"]), ("trace", ["tenant", "trace_id"]), ("span", KEY), ("session", ["tenant", "session_id"])):
-        if set(on) <= set(spans.columns):
-            spans = spans.join(_hits(spans, subjects, on, kind), on, "left_anti")
-    return spans
+def unmasked(rows: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Rows (spans, annotations, payloads) that no subject (kind, tenant, trace_id, span_id, session_id, ref) of an erasure covers, each kind by its own columns."""
+    for kind, on in SUBJECT.items():
+        if set(on) <= set(rows.columns) & set(subjects.columns):
+            rows = rows.join(subjects.where(F.col("kind") == kind).select(*on).distinct(), on, "left_anti")
+    return rows
 
 
 def erased(spans: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -50,22 +50,32 @@ def erased(spans: DataFrame, subjects: DataFrame) -> DataFrame:
 
 
 def redact_payloads(spans: DataFrame, refs: list[str]) -> DataFrame:
-    """References to erased payloads become markers that keep the size."""
+    """References to erased payloads become markers that keep the size, in attributes of spans, events and links."""
 
     def marked(_, v: Column) -> Column:
         ref = F.get_json_object(v, "$['$payload']")
         marker = F.concat(F.lit('{"$payload":"'), ref, F.lit('","bytes":'), F.get_json_object(v, "$.bytes"), F.lit(',"erased":true}'))
         return F.when(ref.isin(*refs), marker).otherwise(v)
 
-    return spans.withColumn("attributes", F.transform_values("attributes", marked))
+    out = spans.withColumn("attributes", F.transform_values("attributes", marked))
+    for c in ("events", "links"):
+        if c in spans.columns:
+            out = out.withColumn(c, F.transform(c, lambda x: x.withField("attributes", F.transform_values(x["attributes"], marked))))
+    return out
 
 
 def receipt(subjects: DataFrame, **tables: DataFrame) -> DataFrame:
-    """(domain, occurrences): what is left of the subjects in each table; an erasure is conclusive if all are 0."""
+    """(domain, occurrences): the rows of each table that subjects still cover; an erasure is conclusive if all are 0.
+
+    Rows are counted one by one, whatever keys they share.  A table that has
+    neither a span's key nor payload references can't be judged and is refused.
+    """
     out = None
     for name, rows in tables.items():
-        left = erased(rows, subjects) if set(KEY) <= set(rows.columns) else rows.limit(0)
-        one = left.agg(F.count("*").alias("occurrences")).select(F.lit(name).alias("domain"), "occurrences")
+        if not (set(KEY) <= set(rows.columns) or "ref" in rows.columns):
+            raise ValueError(f"{name} has no columns by which subjects are known")
+        signed = rows.select(F.lit(1).alias("n")).unionAll(unmasked(rows, subjects).select(F.lit(-1).alias("n")))
+        one = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("occurrences")).select(F.lit(name).alias("domain"), "occurrences")
         out = one if out is None else out.union(one)
     return out
 

@@ -436,13 +436,23 @@ def erasure_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cols(lifecycle.unmasked(V.ev(spark, sf_dir), _subjects(spark)))
 
 
-@query(f"WITH {V.EV_SQL} SELECT 'before' AS domain, count(*) FILTER ({_MASKED}) AS occurrences FROM ev UNION ALL SELECT 'after', 0")
+@query(f"""WITH {V.EV_SQL}, p AS (SELECT DISTINCT 'p' || (event_id % 10) AS ref FROM ev)
+SELECT 'spans' AS domain, count(*) FILTER ({_MASKED})::BIGINT AS occurrences FROM ev UNION ALL SELECT 'swept', count(*) FILTER ({_MASKED}) FROM (SELECT * FROM ev WHERE NOT {_MASKED})
+UNION ALL SELECT 'half_swept', count(*) FILTER ({_MASKED}) FROM (SELECT * FROM ev WHERE tenant <> 't3') UNION ALL SELECT 'notes', 2 * count(*) FILTER ({_MASKED}) FROM ev
+UNION ALL SELECT 'payloads', count(*) FILTER (ref IN ('p3', 'p4')) FROM p""")
 def erasure_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans, subjects = V.ev(spark, sf_dir), _subjects(spark)
-    return lifecycle.receipt(subjects, before=spans, after=lifecycle.unmasked(spans, subjects))
+    """Notes share keys, two a span; payloads are known by reference."""
+    spans = V.ev(spark, sf_dir)
+    subjects = _subjects(spark).withColumn("ref", F.lit(None).cast("string"))
+    subjects = subjects.unionByName(spark.sql("SELECT 'payload' AS kind, explode(array('p3', 'p4', 'gone')) AS ref"), allowMissingColumns=True)
+    notes = spans.select("tenant", "trace_id", "span_id", "session_id")
+    payloads = spans.select(F.expr("concat('p', CAST(substring(span_id, 2) AS LONG) % 10)").alias("ref")).distinct()
+    return lifecycle.receipt(subjects, spans=spans, swept=lifecycle.unmasked(spans, subjects), half_swept=spans.where("tenant <> 't3'"), notes=notes.union(notes), payloads=payloads)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and cost by model over current spans."""
     return QUERIES["llm_by_model"](spark, sf_dir)
 
+
+from . import ingest_queries  # noqa: E402, F401  (adds its own)

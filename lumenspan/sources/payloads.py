@@ -45,10 +45,11 @@ def span_payloads(spans: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def refs(spans: DataFrame) -> DataFrame:
-    """(tenant, trace_id, span_id, ref): the payloads that spans hold."""
+    """(tenant, trace_id, span_id, ref): the payloads that spans hold; the marker of an erased one holds nothing."""
     maps = [F.map_values("attributes")] + [F.flatten(F.transform(c, lambda x: F.map_values(x["attributes"]))) for c in ("events", "links") if c in spans.columns]
     values = F.concat(*[F.coalesce(m, F.array().cast("array<string>")) for m in maps])
-    held = F.array_distinct(F.transform(F.filter(values, lambda v: v.startswith('{"$payload"')), lambda v: F.get_json_object(v, "$['$payload']")))
+    live = F.filter(values, lambda v: v.startswith("{") & v.contains('"$payload":"') & ~(v.contains('"erased":true') & (F.get_json_object(v, "$.erased") == "true")))
+    held = F.array_distinct(F.filter(F.transform(live, lambda v: F.get_json_object(v, "$['$payload']")), lambda r: r.isNotNull()))
     return spans.select("tenant", "trace_id", "span_id", F.explode(held).alias("ref"))
 
 

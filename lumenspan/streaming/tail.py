@@ -29,8 +29,13 @@ class Ring:
     _bytes: int = 0
     _lock: threading.Condition = field(default_factory=threading.Condition)
 
-    def admit(self, rows: list[Row]) -> None:
+    def admit(self, rows: list[Row], skipped: int = 0) -> None:
+        """Takes the newest rows of a batch; ``skipped`` older ones of it are counted, so that readers see the gap."""
         with self._lock:
+            if skipped:
+                self._held.clear()
+                self._bytes = 0
+                self.head += skipped
             for r in rows:
                 size = sum(len(str(x)) for x in r) + 64
                 self._held.append((self.head, size, r))
@@ -74,7 +79,8 @@ def tail(spans: DataFrame, f: SpanFilter, ring: Ring, checkpoint: str, attribute
     def admit(batch: DataFrame, _: int) -> None:
         rows = batch.orderBy("ingest_seq") if "ingest_seq" in batch.columns else batch
         # the ring keeps no more than this, so no more is brought to the driver
-        ring.admit(rows.tail(ring.most_spans))
+        kept = rows.tail(ring.most_spans)
+        ring.admit(kept, batch.count() - len(kept) if len(kept) == ring.most_spans else 0)
 
     return matched.writeStream.foreachBatch(admit).option("checkpointLocation", checkpoint).start()
 

@@ -108,6 +108,24 @@ def test_retention_and_erasure(spark):
     assert {r["domain"]: r["occurrences"] for r in lifecycle.receipt(subjects, before=df, after=left).collect()} == {"before": 3, "after": 0}
 
 
+def test_receipt_judges_each_table_by_its_own_columns(spark):
+    subjects = spark.createDataFrame([("trace", "", "t", None, None, None), ("payload", None, None, None, None, "sha256/a")], "kind string, tenant string, trace_id string, span_id string, session_id string, ref string")
+    notes = spark.createDataFrame([("", "t", ""), ("", "t", ""), ("", "u", "")], "tenant string, trace_id string, span_id string")
+    payloads = spark.createDataFrame([("sha256/a",), ("sha256/b",)], "ref string")
+    assert {r["domain"]: r["occurrences"] for r in lifecycle.receipt(subjects, notes=notes, payloads=payloads).collect()} == {"notes": 2, "payloads": 1}
+    with pytest.raises(ValueError, match="no columns"):
+        lifecycle.receipt(subjects, other=spark.range(3))
+
+
+def test_ring_counts_what_a_batch_skipped():
+    ring = Ring("e", most_spans=3)
+    ring.admit([(i,) for i in range(2)])
+    ring.admit([(i,) for i in range(12, 15)], skipped=10)
+    assert ring.read("e", 12) == ([(12,), (13,), (14,)], 15)
+    with pytest.raises(Gap):
+        ring.read("e", 2)
+
+
 def test_compaction(spark, tmp_path):
     df = frame(spark, [{"span_id": "a", "status": "error"}, {"span_id": "a"}, {"span_id": "b"}]).withColumn("ingest_seq", F.monotonically_increasing_id())
     lifecycle.compact(df, str(tmp_path / "c"), 2)
