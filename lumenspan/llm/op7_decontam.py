@@ -36,7 +36,7 @@ from .common import in_arrow
 
 Q = 12
 #: Bytes of benchmark items in a block, and of documents that are searched at once.
-BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 18
 _TABLE_BITS = 22
 
 

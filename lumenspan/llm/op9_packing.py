@@ -36,7 +36,7 @@ from .common import in_arrow, staged
 from .repeats import Powers, Prefix
 
 #: Words that a worker remembers the ids of, over all its tasks: about 35 bytes each.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 19
 #: New words that are encoded as one text.
 LEARNED = 1 << 14
 #: Bytes of a worker's first texts, and texts of all habits, on which encoding by words is held against encoding whole texts.
@@ -55,7 +55,7 @@ _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
 class WordIds:
     """Ids of words: ``ids[starts[i] : starts[i] + sizes[i]]`` are those of the word whose hash is ``keys[i]``; keys are sorted.
 
-    Words are told apart by a 64-bit hash; among the million that are remembered two meet with a chance of 3e-8.
+    Words are told apart by a 64-bit hash; among the half million that are remembered two meet with a chance of 1e-8.
     """
 
     def __init__(self, path: str) -> None:
@@ -166,7 +166,9 @@ class Index:
     def __init__(self, docs: list[np.ndarray]) -> None:
         n = self.n = len(docs)
         size = np.array([len(d) for d in docs], np.int64)
-        pair, tf = np.unique(np.concatenate(docs).astype(np.int64) * n + np.repeat(np.arange(n), size), return_counts=True)
+        ids = np.concatenate(docs)
+        kind = np.uint32 if (int(ids.max()) + 1) * n < 1 << 32 else np.int64  # of (id, document) pairs
+        pair, tf = np.unique(ids.astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), size), return_counts=True)
         self.terms, self.docs = pair // n, (pair % n).astype(np.uint16 if n <= 1 << 16 else np.int64)
         self.first = np.searchsorted(self.terms, np.arange(int(self.terms[-1]) + 2))
         self.df = np.diff(self.first)
