@@ -2,7 +2,8 @@
 
 Spans are first written as a store of current spans (what ingest and compaction
 leave behind); its time is reported as ``ingest``.  The queries then read that
-store, each the better of two runs, written to the noop sink.
+store, each the better of two runs, written to the noop sink; one of them reads
+all versions and picks the last writes itself.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.operators import aggregates, diagnosis, insights, trees
+from lumenspan.operators.current import current
 from lumenspan.plans import adapters
 from lumenspan.plans.filters import SpanFilter, search
 
@@ -32,14 +34,16 @@ def main() -> None:
     folder = tempfile.mkdtemp(prefix="bench-")
     try:
         began = time.perf_counter()
-        for name, make in (("li", adapters.li), ("ev", adapters.ev), ("cv", adapters.cv)):
+        for name, make in (("li", adapters.li), ("ev", adapters.ev), ("cv", adapters.cv), ("li_versions", adapters.li_versions)):
             make(spark, sf).write.parquet(f"{folder}/{name}")
         ingest = time.perf_counter() - began
         li, ev, cv = (spark.read.parquet(f"{folder}/{n}") for n in ("li", "ev", "cv"))
+        versions = spark.read.parquet(f"{folder}/li_versions")
         lo, hi = ev.agg(F.min("start_time_ns"), F.max("start_time_ns")).first()
         queries: dict[str, DataFrame] = {
             "llm_by_model": aggregates.llm_by(li, "model"),
             "llm_by_model_window": aggregates.llm_by(aggregates.windowed(li, 800_000_000_000_000_000, 830_000_000_000_000_000), "model"),
+            "llm_by_model_of_versions": aggregates.llm_by(current(versions), "model"),
             "llm_by_service": aggregates.llm_by(li, "service"),
             "llm_by_session": aggregates.llm_by(li, "session"),
             "sessions_recent": aggregates.ranked_sessions(aggregates.sessions(li), "recent", 50),
