@@ -8,9 +8,10 @@ term discloses is
     disclosure(t, c) = PMI(t; c) / IC(c) = log(p(t, c) / (p(t) p(c))) / -log p(c)
 
 where each p is a share of the corpus's documents (Sanchez and Batet's
-C-sanitisation).  A term in ``SUPPORT`` distinct contexts of c (copies of one
-context count as documents, but support nothing) whose disclosure reaches
-``remove_at`` is removed; one that reaches ``generalise_at`` is replaced by the
+C-sanitisation).  A term in ``SUPPORT`` independent contexts of c (copies and
+near copies of one context count as documents, but only one of them supports:
+else every word of a passage that is copied with its value would disclose it)
+whose disclosure reaches ``remove_at`` is removed; one that reaches ``generalise_at`` is replaced by the
 class of words it belongs to (``general``): wherever it stands in the corpus,
 beside the value or in a document without it.  The spans of both are added to
 the base ones.
@@ -21,7 +22,7 @@ knows them, else from a distributed count of all words, and rows then look up
 the judgements of their own terms where they lie.
 
 Edge cases: a NULL text is empty and has no spans; repeated rows are each
-judged, and equal contexts support once; an empty table gives an empty result;
+judged, and equal or nearly equal contexts support once; an empty table gives an empty result;
 other columns pass through ``sanitise`` untouched, whatever their names.
 """
 
@@ -31,7 +32,9 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,8 +52,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TWO_DIGITS = re.compile(r"[0-9][0-9. -]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Distinct contexts of an entity that must hold a term before it can disclose.
+#: Independent contexts of an entity that must hold a term before it can disclose.
 SUPPORT = 3
+#: Contexts that agree in one of BANDS groups of BAND_ROWS min-hashes of their pairs of neighbouring terms depend on each other (0.8 alike: 1.0; 0.6: 0.96; 0.2: 0.04).
+BANDS, BAND_ROWS = 24, 4
+_MIXERS = np.random.default_rng(42).integers(1, 2**63, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
 #: Candidate terms (or entities) that one pass may know by heart; beyond, words are counted by a shuffle.
 KNOWN_TERMS = 50_000
 
@@ -142,8 +148,19 @@ def _context(text: str, spans: list[tuple[str, int, int]]) -> tuple[int, list[st
     return term_key("\0".join(terms)), terms
 
 
+def bands_of(text: str) -> list[int]:
+    """A key per band of min-hashes of the pairs of neighbouring terms; zeros if there is none."""
+    terms = [t for w in _WORD.findall(text) if (t := term_of(w))]
+    pairs = {f"{a} {b}" for a, b in pairwise(terms)}
+    if not pairs:
+        return [0] * BANDS
+    own = np.array([term_key(x) for x in pairs], np.int64).view(np.uint64)
+    least = np.array([(own * m).min() for m in _MIXERS])
+    return [term_key(least[i : i + BAND_ROWS].tobytes().hex()) for i in range(0, len(least), BAND_ROWS)]
+
+
 def entity_contexts(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(entity, context, n): each distinct context of each entity and how many documents have it."""
+    """(entity, context, bands, n): each distinct context of each entity, its bands and how many documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,11 +168,23 @@ def entity_contexts(df: DataFrame, text_col: str = "text") -> DataFrame:
             for t in b.column(0).to_pylist():
                 if spans := base_spans(t):
                     context, _ = _context(t, spans)
-                    rows += {(entity_key(k, t[s:e]), context) for k, s, e in spans}
+                    bands = bands_of(outside(t, spans))
+                    rows += [(e, context, bands) for e in {entity_key(k, t[s:e]) for k, s, e in spans}]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["entity", "context"])
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["entity", "context", "bands"])
+
+    return _texts(df, text_col).transform(in_arrow, run, "entity long, context long, bands array<long>").groupBy("entity", "context").agg(F.min("bands").alias("bands"), F.count("*").alias("n"))
 
-    return _texts(df, text_col).transform(in_arrow, run, "entity long, context long").groupBy("entity", "context").agg(F.count("*").alias("n"))
+
+def independent(contexts: DataFrame) -> DataFrame:
+    """(entity, context): contexts that are the first of their entity in all their bands.
+
+    A near copy shares a band with the context it was made from, so one of a
+    group stays, however many there are; minima combine on the map side.
+    """
+    firsts = contexts.select("entity", "context", F.posexplode("bands").alias("i", "band")).groupBy("entity", "i", "band").agg(F.min("context").alias("context"))
+    return firsts.groupBy("entity", "context").agg(F.count("*").alias("first_in")).where(F.col("first_in") == BANDS).drop("first_in")
 
 
 def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int] | None = None) -> DataFrame:
@@ -180,12 +209,17 @@ def cooccurrence(df: DataFrame, text_col: str = "text", entities: frozenset[int]
 
 def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, share): terms with support and the share of the entity's information that each discloses."""
-    held = entity_contexts(df, text_col).groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("support"))
-    n_entity = staged(held.where(F.col("support") >= SUPPORT).drop("support"), "entities")  # fewer contexts support no term
+    contexts = staged(entity_contexts(df, text_col), "contexts")
+    leading = staged(independent(contexts), "independent-contexts")
+    enough = leading.groupBy("entity").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT).drop("support")  # fewer support no term
+    n_entity = staged(contexts.groupBy("entity").agg(F.sum("n").alias("n_entity")).join(enough, "entity"), "entities")
     n_entities = n_entity.count()
     entities = frozenset(r["entity"] for r in n_entity.collect()) if n_entities <= KNOWN_TERMS else None
-    both = lambda: cooccurrence(df, text_col, entities).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
-    pairs = both().where(F.col("support") >= SUPPORT).drop("support") if n_entities else df.sparkSession.createDataFrame([], "entity long, term long, n_both long")
+    if n_entities:
+        held = cooccurrence(df, text_col, entities).join(leading.withColumn("leads", F.lit(1)), ["entity", "context"], "left")
+        pairs = held.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("leads").alias("support")).where(F.col("support") >= SUPPORT).drop("support")
+    else:
+        pairs = df.sparkSession.createDataFrame([], "entity long, term long, n_both long")
     pairs = staged(pairs, "supported-terms")
     candidates = pairs.select("term").distinct()
     n_candidates = candidates.count()

@@ -175,6 +175,22 @@ def test_pii_terms_far_from_the_value(spark, monkeypatch, bound):
     assert all(clean[i] == t for i, t in docs if i >= 100)
 
 
+def test_pii_near_copies_support_once(spark):
+    """A passage copied with its value discloses nothing by being copied; a term of independent contexts still does."""
+    rng = random.Random(8)
+    words = [f"{w}{i}" for i, w in enumerate(prose(rng, 60).split())]
+    docs = []
+    for i in range(300):
+        near = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            near[rng.randrange(len(near))] = f"edit{rng.random()}"
+        docs.append((i, " ".join([*near, "call +49 30 1234567"])))
+    docs += [(500 + i, f"{prose(rng, 50)} Zanzibarine {prose(rng, 40)} jo@x.example") for i in range(5)] + [(600, " ".join(words))]
+    spans = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",")] for r in op2_pii.pii_report(frame(spark, docs)).collect()}
+    assert all(spans[i] == ["phone"] for i in range(300)) and spans[600] == [""]
+    assert all(set(spans[500 + i]) == {"email", "term"} for i in range(5))
+
+
 def test_pii_beyond_the_bound(spark, monkeypatch):
     monkeypatch.setattr(op2_pii, "KNOWN_TERMS", 0)
     test_pii_report(spark)
