@@ -183,9 +183,10 @@ def test_pii_near_copies_support_once(spark):
     for i in range(300):
         near = list(words)
         for _ in range(rng.randrange(1, 5)):
-            near[rng.randrange(len(near))] = f"edit{rng.random()}"
+            near[rng.randrange(len(near))] = f"edit{rng.randrange(10**6)}"
         docs.append((i, " ".join([*near, "call +49 30 1234567"])))
     docs += [(500 + i, f"{prose(rng, 50)} Zanzibarine {prose(rng, 40)} jo@x.example") for i in range(5)] + [(600, " ".join(words))]
+    docs += [(700 + i, prose(rng, 90)) for i in range(100)]
     spans = {r["doc_id"]: [x.split(":")[0] for x in r["spans"].split(",")] for r in op2_pii.pii_report(frame(spark, docs)).collect()}
     assert all(spans[i] == ["phone"] for i in range(300)) and spans[600] == [""]
     assert all(set(spans[500 + i]) == {"email", "term"} for i in range(5))
