@@ -81,6 +81,17 @@ def release(spark: SparkSession) -> None:
         _WRITTEN.remove(x)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Executors collect their garbage, and so return heap, generated classes and buffers that past jobs took.
+
+    A heap that one stage has filled stays with its process, beside what the
+    Python workers of the next stage need.  A task per core reaches the
+    executors by chance of scheduling; one that is missed only keeps its memory.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 class Rows:
     """Long rows at rest: ``df`` with a unique long ``key``, written once, that later joins look into where they lie.
 
