@@ -89,6 +89,8 @@ PROSE = "the of and to in a is that for it as was with be by on not he his but a
 CUES = r"(?i)licen[sc]e|permission|redistribut|public domain|copyright notice|required by applicable law|copy, modify, publish|waived all copyright|creative commons|cc0|cc by|gpl|apache-2"
 #: A line that is continued by the next, whose mark of a comment is left out; and what ends a paragraph for good.
 WRAPPED, BLANK = r"([A-Za-z0-9,;/()\"-])[\x20\t\r]*\n[\x20\t]*(?:[*#/;]+[\x20\t]+)?", r"\n[*#/\x20\t\r]*\n"
+#: As ``CUES`` in a text whose lines are not joined yet: a cue may be broken over two, with a mark of a comment between.
+CUES_IN_LINES = CUES.replace(" ", r"[\s*#/;]+")
 UNKNOWN = "unknown"
 #: Share of a notice's n-grams that confirms it, and the least calibrated probability.
 CONFIRM, LEAST = 0.6, 0.5
@@ -181,7 +183,7 @@ def license_paragraphs(df: DataFrame, text_col: str = "text", key: str = "row_id
 
     ``df`` is read more than once, so ``key`` must come out the same each time.
     """
-    every = F.when(F.col(text_col).rlike(CUES), paragraphs(F.col(text_col)))
+    every = F.when(F.col(text_col).rlike(CUES_IN_LINES), paragraphs(F.col(text_col)))
     return judged_paragraphs(df.select(F.col(key).alias("key"), F.posexplode(every).alias("paragraph", "said")).where(F.col("said").rlike(CUES))).withColumnRenamed("key", key)
 
 
@@ -210,7 +212,7 @@ def judged_paragraphs(said: DataFrame) -> DataFrame:
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_paragraphs, families): for each document its confirmed licence paragraphs and their families, joined by a comma."""
     text = F.col(text_col)
-    cued = F.when(text.rlike(CUES), F.filter(F.transform(paragraphs(text), lambda x, i: F.struct(i.alias("paragraph"), x.alias("said"))), lambda x: x["said"].rlike(CUES)))
+    cued = F.when(text.rlike(CUES_IN_LINES), F.filter(F.transform(paragraphs(text), lambda x, i: F.struct(i.alias("paragraph"), x.alias("said"))), lambda x: x["said"].rlike(CUES)))
     rows = staged(df.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), cued.alias("cued")), "paragraphs")
     found = judged_paragraphs(rows.select("key", F.inline("cued"))).where("confirmed")
     found = found.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("families"))
