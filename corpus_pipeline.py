@@ -26,7 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 or more of their five-word shingles: the first row of the smallest id."""
+    """One document of each group of texts that share 0.8 or more of their five-word shingles: the first row of the smallest id.
+
+    SimHash finds them, with op8's plan and buckets, and by prefixes of shingles
+    what no number of bits guarantees; the share decides on both.
+    """
     (row_id,) = unused(docs, "row_id")
     rows = Rows(docs, row_id, "rows")
     groups = similar_groups(rows)

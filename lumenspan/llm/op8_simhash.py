@@ -20,16 +20,17 @@ a text shorter than a shingle is one shingle; repeated rows share their
 component; a NULL id takes part in no minimum but is returned; an empty table
 gives an empty result; other columns are not read.
 
-``similar_groups`` serves text similarity instead of a number of bits.  Two sets
-of n and more shingles with Jaccard similarity J share at least Jn of them, so
-by the pigeonhole principle the least n - Jn + 1 of each have one in common,
-whatever order is used: this meets every pair, where no affordable threshold on
-bits does (at 0.8 a pair differs in 29 of 192 bits on average, and a plan must
-cover the deviations too).  Members that meet are linked loosely if their wide
-fingerprints are within ``WIDE_MOST`` bits, and within each loose group a search
-by the exact similarity tests every pair that is not yet connected.  Shingles
-common in a sample come last in the order, so that passages many texts share
-make no large buckets.
+``similar_groups`` serves text similarity instead of a number of bits.  The same
+steps 1 to 4, over fingerprints of sets of shingles, link texts loosely.  They
+alone would miss pairs: at Jaccard similarity 0.8 a pair differs in 29 of 192
+bits on average, and no plan that covers the deviations too is affordable.  So
+texts that they leave apart meet in a second way: two sets of n and more
+shingles with similarity J share at least Jn of them, so by the pigeonhole
+principle the least n - Jn + 1 of each have one in common, whatever order is
+used.  Those are linked loosely if their wide fingerprints are within
+``WIDE_MOST`` bits.  Within each loose group a search by the exact similarity
+tests every pair that is not yet connected.  Shingles common in a sample come
+last in the order, so that passages many texts share make no large buckets.
 """
 
 from __future__ import annotations
@@ -301,7 +302,11 @@ def links(fps: DataFrame, tau: int = 4) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, tau: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): for each row its fingerprint and the smallest id it is linked to."""
-    docs = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints")
+    return linked(staged(fingerprints(df, id_col, text_col, shingle), "fingerprints"), tau)
+
+
+def linked(docs: DataFrame, tau: int) -> DataFrame:
+    """(doc_id, fp, component_id): rows (doc_id, fp) with the smallest id that each is linked to by steps of ``tau`` bits or fewer."""
     least = staged(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = connected_components(links(least, tau))
     joined = least.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -473,6 +478,7 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
     """(a, b): edges that connect all nodes that share a shingle of their prefixes and are linked by steps of ``WIDE_MOST`` bits.
 
     ``texts`` has (whole, text), ``nodes`` a row for each distinct ``whole``.
+    Nodes of one ``component`` are connected already: edges between these may be left out.
     """
     columns = [f"f{w}" for w in range(WIDE)]
     sent = texts.sparkSession.sparkContext.broadcast(common)
@@ -520,7 +526,9 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: tuple[list[int], list[int]] = ([], [])
         for _, rows in runs_of(batches):
-            a, b = wide_forest(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), rows[:, 1], WIDE_MOST, similarity)
+            if (rows[:, 1] == rows[0, 1]).all():
+                continue
+            a, b = wide_forest(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), rows[:, 2], WIDE_MOST, similarity)
             out[0].extend(rows[a, 0].tolist())
             out[1].extend(rows[b, 0].tolist())
             if len(out[0]) > 50_000:
@@ -533,15 +541,17 @@ def loose_pairs(texts: DataFrame, nodes: DataFrame, common: np.ndarray, similari
     dealt = texts.select("text").transform(in_arrow, prefixes, "h long, whole long")
     met = dealt.repartition(parts, "h").sortWithinPartitions("h").transform(in_arrow, meet, "bucket long, whole long").distinct()
     met = staged(met, "buckets")
-    members = met.join(nodes, "whole").select("bucket", "node", "n", *columns)
+    members = met.join(nodes, "whole").select("bucket", "node", "component", "n", *columns)
     members = in_blocks(members, "bucket", "node", met.groupBy("bucket").agg(F.count("*").alias("size")), BLOCK)
     return members.repartition(parts, "bucket").sortWithinPartitions("bucket", "node").transform(in_arrow, link, "a long, b long").distinct()
 
 
-def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.8, shingle: int = 5, tau: int = 4) -> DataFrame:
     """(key, group): rows whose sets of word shingles are alike, directly or by steps; ``group`` is the smallest key reached.
 
-    Equal word sequences are one node.  Texts are read where they lie: once for
+    Equal word sequences are one node.  Nodes whose fingerprints are linked by
+    steps of ``tau`` bits are candidates, and those that meet by their prefixes;
+    the exact similarity decides on both.  Texts are read where they lie: once for
     their fingerprints and prefixes, once for the sets of those in loose groups.
     """
     columns = [f"f{w}" for w in range(WIDE)]
@@ -584,8 +594,10 @@ def similar_groups(of_rows: Rows, text_col: str = "text", similarity: float = 0.
     rows = of_rows.df.select(F.col(of_rows.key).alias("key"), F.col(text_col).cast("binary").alias("text"))
     docs = staged(rows.transform(in_arrow, read, "key long, whole long, n long, " + ", ".join(f"{c} long" for c in columns)), "wide-fingerprints")
     nodes = staged(docs.groupBy("whole").agg(F.min("key").alias("node"), *[F.min(c).alias(c) for c in ("n", *columns)]), "distinct-texts")
+    near = staged(linked(nodes.select(F.col("node").alias("doc_id"), F.col("f0").alias("fp")), tau).select(F.col("doc_id").alias("node"), F.col("component_id").alias("component")), "linked")
     common = common_shingles(rows, nodes.count(), shingle)
-    loose = staged(connected_components(loose_pairs(rows, nodes, common, similarity, shingle)), "loose-groups")
+    met = loose_pairs(rows, nodes.join(near, "node"), common, similarity, shingle)
+    loose = staged(connected_components(met.union(near.select("component", "node").where("component <> node"))), "loose-groups")
     said = of_rows.join(loose.select(F.col("node").alias(of_rows.key)), "left_semi", text_col).select(F.col(of_rows.key), F.col(text_col).cast("binary"))
     sets = staged(said.transform(in_arrow, shingled, "node long, n int, said binary").join(loose, "node"), "shingles")
     sizes = sets.groupBy("root").agg(F.sum("n").alias("size"))

@@ -564,6 +564,21 @@ def test_similar_groups_in_blocks(spark, monkeypatch):
     assert groups_of(spark, texts) == brute_groups(texts)
 
 
+def test_similar_groups_by_fingerprints(spark, monkeypatch):
+    """SimHash's own plan and buckets link near copies: here prefixes link nothing."""
+    monkeypatch.setattr(op8_simhash, "WIDE_MOST", -1)
+    rng, texts = random.Random(51), []
+    for _ in range(8):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-1], "last"]), " ".join([*words, "more"])]
+    got = groups_of(spark, texts)
+    powers = op8_simhash.Powers()
+    fps = op8_simhash.wide_fingerprints([np.unique(op8_simhash._shingles(k, 5)) for k in op8_simhash._word_keys([t.encode() for t in texts], powers)])[:, 0]
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    assert near.sum() > 24 + 16 and brute_groups(texts) == [i // 3 * 3 for i in range(24)]
+    assert all(got[i] == got[j] for i, j in zip(*np.nonzero(near))) and all(g // 3 == i // 3 for i, g in enumerate(got))
+
+
 def test_links_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(op8_simhash, "BLOCK", 2)
     test_near_duplicates(spark, 4)
