@@ -31,7 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -139,6 +139,26 @@ def terms_of(text: str) -> set[str]:
     return {t for w in set(_WORD.findall(text)) if len(t := term_of(w)) > 2}
 
 
+class Known:
+    """Finds those of the term keys ``keys`` whose terms a text holds; each word is judged once, while it is remembered."""
+
+    def __init__(self, keys: Container[int]) -> None:
+        self.keys = keys
+        self.seen: set[bytes] = set()
+        self.hits: dict[bytes, int] = {}
+
+    def found(self, text: bytes) -> set[int]:
+        words = set(text.split())  # bytes split at ASCII white space only, as _WORD does
+        if fresh := words - self.seen:
+            if len(self.seen) > 200_000:
+                self.seen.clear()
+                self.hits.clear()
+                fresh = words
+            self.seen |= fresh
+            self.hits.update((w, k) for w in fresh if len(t := term_of(w.decode())) > 2 and (k := term_key(t)) in self.keys)
+        return {self.hits[w] for w in words & self.hits.keys()}
+
+
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
     return df.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"))
 
@@ -231,15 +251,22 @@ def disclosures(df: DataFrame, text_col: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         keys: dict[str, int] = {}
+        words = None if known is None else Known(known)
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in b.column(0):
+                if words is not None:
+                    found = words.found(t.as_buffer().to_pybytes())
+                    if found and (spans := base_spans(t := t.as_py())):
+                        found = words.found(outside(t, spans).encode())
+                    counts.update(found)
+                    continue
+                t = t.as_py()
                 for x in terms_of(outside(t, base_spans(t))):
                     if (k := keys.get(x)) is None:
                         if len(keys) > 200_000:
                             keys.clear()
                         keys[x] = k = term_key(x)
-                    if known is None or k in known:
-                        counts[k] += 1
+                    counts[k] += 1
             if len(counts) > 500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
                 counts.clear()

@@ -6,6 +6,7 @@ import collections
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -197,6 +198,33 @@ def test_pii_beyond_the_bound(spark, monkeypatch):
     test_pii_report(spark)
 
 
+def test_known_words_are_those_of_terms():
+    """The words that counting looks at are the same by bytes as by terms, whatever the white space, and beyond the memory."""
+    texts = [t or "" for _, t in awkward()] + ["Zürich\u00a0x (Zürich), \x1cSTONE\x0bstone.\x0cRiver\u2028river", *(f"w{i} stone" for i in range(3))]
+    terms = {"stone", "straße", "señor", "zürich", "river\u2028river", "zürich\u00a0x", "ab"}
+    known = op2_pii.Known({op2_pii.term_key(x) for x in terms})
+    for t in texts:
+        assert known.found(t.encode()) == {op2_pii.term_key(x) for x in terms & op2_pii.terms_of(t)}
+    known.seen |= {b"%d" % i for i in range(200_001)}
+    assert known.found(b"new Stone, x") == {op2_pii.term_key("stone")} and len(known.seen) == 3
+
+
+def test_counting_known_terms_takes_no_text_apart(spark, tmp_path, monkeypatch):
+    """To count known terms, texts are not taken apart into all their terms."""
+    docs = [(i, f"write to one@mail.example about zebra{'abcde'[i]} zebras {'xyz '[i % 3] * 4}{i}") for i in range(5)] + [(10 + i, f"plain text {i} zebras") for i in range(40)]
+    own, log = op2_pii.terms_of, str(tmp_path / "texts")
+
+    def terms_of(text: str) -> set[str]:
+        with open(log, "a") as f:
+            f.write(text.replace("\n", " ") + "\n")
+        return own(text)
+
+    monkeypatch.setattr(op2_pii, "terms_of", terms_of)
+    got = {(r["term"]) for r in op2_pii.disclosures(frame(spark, docs)).collect()}
+    assert op2_pii.term_key("zebras") in got
+    assert not os.path.exists(log) or not [t for t in open(log) if t.startswith("plain text")]
+
+
 def test_pii_against_brute_force(spark):
     """Every span of a table where the method fires, against counts of documents in plain Python."""
     rng, said = random.Random(6), [f"w{i:03}" for i in range(60)]
