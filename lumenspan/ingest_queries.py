@@ -169,7 +169,12 @@ def _field(number: int, wire: int, body: bytes) -> bytes:
     return _size(number << 3 | wire) + (_size(len(body)) if wire == 2 else b"") + body
 
 
+_ONE = [bytes([n]) for n in range(128)]
+
+
 def _size(n: int) -> bytes:
+    if n < 128:
+        return _ONE[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
