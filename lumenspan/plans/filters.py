@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, fields, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.attributes import has_words, loosely_equal, numeric, searchable_text, strictly_different, value
+from ..functions.attributes import has_words, loosely_equal, near_words, numeric, searchable_text, stored_text, strictly_different, value
 from ..functions.semconv import duration
 from ..schema import ORDER
 
@@ -132,7 +132,12 @@ class SpanFilter:
         tests += [F.coalesce(numeric(value(attributes, k)) >= v, F.lit(False)) for k, v in self.min_attributes.items()]
         tests += [F.coalesce(numeric(value(attributes, k)) <= v, F.lit(False)) for k, v in self.max_attributes.items()]
         if self.content is not None:
-            tests.append(has_words(F.col("content") if attributes == "" else searchable_text(F.col(attributes), F.col("events")), self.content))
+            if attributes == "":
+                tests.append(has_words(F.col("content"), self.content))
+            else:
+                # strings are taken apart only where the letters stand
+                held = F.col(attributes), F.col("events")
+                tests += [near_words(stored_text(*held), self.content), has_words(searchable_text(*held), self.content)]
         if self.cursor is not None:
             tests.append(self.cursor.after())
         out = F.lit(True)
