@@ -20,6 +20,7 @@ from .queries import _DUR, _SPAN, _SUMS, COUNTERS, _cols, _split, query
 from .sources import payloads
 from .sources.native import END, START, accepted, numbered, read_spans, suppressed
 from .sources.otlp import read_otlp
+from .sources.rows import BATCH
 from .store import TraceStore
 
 PRICING = Pricing({"m-a": (3.0, 15.0), "m-*": (2.0, 8.0)})
@@ -236,8 +237,10 @@ def ingest_otlp_protobuf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encoded(json.loads(x)) for x in b.column(0).to_pylist()], pa.binary())], ["value"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                part = whole.column(0).slice(at, BATCH)
+                yield pa.RecordBatch.from_arrays([pa.array([encoded(json.loads(x)) for x in part.to_pylist()], pa.binary())], ["value"])
 
     bodies = otlp_bodies(spark, sf_dir).mapInArrow(run, "value binary")
     return _otlp_rows(accepted(read_otlp(bodies, protobuf=True)))
